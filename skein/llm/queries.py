@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from skein.llm import decontam, langid
+from skein.llm import decontam, jaccard, langid, substring
 
 QUERIES = {
+    "op1_substring_dedup": substring.op1_substring_dedup,
+    "op3_ngram_jaccard": jaccard.op3_ngram_jaccard,
     "op4_language_id": langid.op4_language_id,
     "op6_decontamination": decontam.op6_decontamination,
 }
