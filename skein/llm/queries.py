@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from skein.llm import decontam, jaccard, langid, substring
+from skein.llm import bpe, chat, decontam, jaccard, langid, substring
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
+    "op2_chat_format": chat.op2_chat_format,
     "op3_ngram_jaccard": jaccard.op3_ngram_jaccard,
     "op4_language_id": langid.op4_language_id,
     "op6_decontamination": decontam.op6_decontamination,
+    "op9_bpe": bpe.op9_bpe,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_chat_format": chat.SQL}
