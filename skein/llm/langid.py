@@ -15,11 +15,11 @@ ORDERS = (2, 3)
 UNKNOWN = "und"
 
 
-def features(cp: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the 2- and 3-grams of a chunk, in two rows, and the bounds of its documents.
+def features(cp: np.ndarray, bounds: np.ndarray, orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of a chunk, a row for each order, and the bounds of its documents.
 
     Letters are lowered, every run of other characters becomes one space; an
-    n-gram that leaves its document has the bucket 2 ** BITS, which no model scores.
+    n-gram that leaves its document has the bucket 2 ** bits, which no model scores.
     """
     low = X.lower(cp)
     letter = X.flags(low, "alpha")
@@ -30,9 +30,9 @@ def features(cp: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     b = np.concatenate(([0], np.cumsum(keep)))[bounds]
     c = c[keep]
     n, room = len(c), np.repeat(b[1:], np.diff(b)) - np.arange(len(c))
-    out = np.full((len(ORDERS), n), 1 << BITS, np.int32)
+    out = np.full((len(orders), n), 1 << bits, np.int32)
     code = c * np.uint32(0x9E3779B1)
-    for k, order in enumerate(ORDERS):
+    for k, order in enumerate(orders):
         if n < order:
             continue
         h = code[: n - order + 1].copy()
@@ -40,7 +40,7 @@ def features(cp: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
             h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B) + code[j : n - order + 1 + j]
         h ^= h >> np.uint32(13)
         h *= np.uint32(0xC2B2AE35)
-        out[k, : n - order + 1] = np.where(room[: n - order + 1] >= order, h >> np.uint32(32 - BITS), 1 << BITS)
+        out[k, : n - order + 1] = np.where(room[: n - order + 1] >= order, h >> np.uint32(32 - bits), 1 << bits)
     return out, b
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import bpe, chat, decontam, jaccard, langid, substring
+from skein.llm import bpe, chat, decontam, jaccard, langid, lm, substring, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_ngram_jaccard": jaccard.op3_ngram_jaccard,
     "op4_language_id": langid.op4_language_id,
     "op6_decontamination": decontam.op6_decontamination,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op9_bpe": bpe.op9_bpe,
+    "op10_lm_score": lm.op10_lm_score,
 }
 ORACLE_SQL: dict[str, str] = {"op2_chat_format": chat.SQL}
