@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import bpe, chat, decontam, jaccard, langid, lm, pii, substring, toxicity
+from skein.llm import bpe, chat, decontam, jaccard, langid, lm, media, pii, substring, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_pii": pii.op5_pii,
     "op6_decontamination": decontam.op6_decontamination,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_media": media.op8_media,
     "op9_bpe": bpe.op9_bpe,
     "op10_lm_score": lm.op10_lm_score,
 }
