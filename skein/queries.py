@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from skein.plans import corpus, warehouse
+
+QUERIES: dict = {**corpus.QUERIES, **warehouse.QUERIES}
+ORACLE_SQL: dict[str, str] = {**corpus.ORACLE_SQL, **warehouse.ORACLE_SQL}
