@@ -30,27 +30,23 @@ def present(texts: list[str | None], use: np.ndarray | None = None):
         yield lo, hi, key >> BITS, key & (1 << BITS) - 1
 
 
-def fit(buckets: list[np.ndarray], toxic: np.ndarray, ratio_least: float = 1.0, l2: float = 1e-3, steps: int = 150) -> tuple[np.ndarray, float]:
-    """Weights of all buckets, the last for none, and the intercept.
+def ratios(p: np.ndarray, q: np.ndarray, toxic: int, clean: int, least: float = 1.0, rows: int = 5) -> np.ndarray:
+    """Naive Bayes log-count ratio of each bucket that is in p toxic and q clean documents; 0 within least of 0, and for buckets in fewer than rows documents."""
+    ratio = np.log((p + 1) / (toxic + 1)) - np.log((q + 1) / (clean + 1))
+    return np.where((np.abs(ratio) >= least) & (p + q >= rows), ratio, 0)
 
-    Logistic regression on presence times the naive Bayes log-count ratio;
-    buckets whose ratio is within ratio_least of 0 are left out.
-    """
+
+def fit(buckets: list[np.ndarray], toxic: np.ndarray, ratio: np.ndarray, l2: float = 1e-3, steps: int = 150) -> tuple[np.ndarray, float]:
+    """Weights of all buckets, the last for none, and the intercept: logistic regression on presence times ratio."""
     y = toxic.astype(np.float64)
     weight = np.zeros((1 << BITS) + 1, np.float32)
     if not len(y) or y.min() == y.max():
         return weight, 20.0 if len(y) and y.min() else -20.0
-    row = np.repeat(np.arange(len(y)), [len(b) for b in buckets])
-    column = np.concatenate(buckets)
-    p = np.bincount(column, y[row], 1 << BITS) + 1
-    q = np.bincount(column, 1 - y[row], 1 << BITS) + 1
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    ratio -= np.log((y.sum() + 1) / p.sum()) - np.log((len(y) - y.sum() + 1) / q.sum())
-    used = np.flatnonzero((np.abs(ratio) >= ratio_least) & (p + q >= 5))
-    index = np.full(1 << BITS, -1, np.int64)
+    used = np.flatnonzero(ratio)
+    index = np.zeros(1 << BITS, np.int32)
     index[used] = np.arange(len(used))
-    pick = index[column] >= 0
-    row, column = row[pick], index[column[pick]]
+    row = np.repeat(np.arange(len(y), dtype=np.int32), [len(b) for b in buckets])
+    column = index[np.concatenate(buckets)] if len(used) else np.zeros(0, np.int32)
     value = ratio[used]
     w, b = np.zeros(len(used)), 0.0
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
@@ -70,28 +66,48 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     """Weights and intercept, fitted on about per_class labelled documents of each class, chosen by a hash of doc_id.
 
     A document with several labels is toxic if one says so; a null label says nothing.
+    Executors count the buckets; the driver gets two numbers for each, and then the documents' buckets that have a ratio.
     """
+    spark = docs.sparkSession
     known = X.need(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     chosen = F.lit(False)
     for c, n in sizes.items():
         chosen = chosen | ((F.col("toxic") == c) & (draw < min(1_000_000, 1_000_000 * per_class // n)))
-    sample = F.broadcast(known.where(chosen))  # of bounded size
+    sample = X.need(docs, "doc_id", "text").where("text is not null").join(F.broadcast(known.where(chosen)), "doc_id")  # the sample is of bounded size
 
-    def run(batches):
+    def counts(batches):
+        n = np.zeros((2, (1 << BITS) + 1), np.int32)
         for batch in batches:
-            toxic = batch.column("toxic").to_pylist()
+            toxic = batch.column("toxic").to_numpy() > 0
+            n[:, -1] += (toxic.sum(), (~toxic).sum())
             for lo, hi, doc, bucket in present(batch.column("text").to_pylist()):
+                own = toxic[lo:hi][doc]
+                n[0] += np.bincount(bucket[own], minlength=n.shape[1]).astype(np.int32)
+                n[1] += np.bincount(bucket[~own], minlength=n.shape[1]).astype(np.int32)
+        at = np.flatnonzero(n.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[0, at]), pa.array(n[1, at])], names=["bucket", "p", "q"])
+
+    found = sample.mapInArrow(counts, "bucket int, p int, q int").groupBy("bucket").agg(F.sum("p").cast("int").alias("p"), F.sum("q").cast("int").alias("q")).toArrow()
+    n = np.zeros((2, (1 << BITS) + 1), np.int64)
+    n[:, found.column("bucket").to_numpy()] = found.column("p").to_numpy(), found.column("q").to_numpy()
+    ratio = ratios(n[0, :-1], n[1, :-1], n[0, -1], n[1, -1])
+    held = spark.sparkContext.broadcast(np.append(ratio != 0, False))
+
+    def chosen_buckets(batches):
+        for batch in batches:
+            toxic = batch.column("toxic").to_pylist()
+            for lo, hi, doc, bucket in present(batch.column("text").to_pylist(), held.value):
                 at = np.searchsorted(doc, np.arange(hi - lo + 1))
                 yield pa.RecordBatch.from_arrays([pa.array(toxic[lo:hi], pa.int32()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(bucket, pa.int32()))], names=["toxic", "buckets"])
 
-    rows = X.need(docs, "doc_id", "text").where("text is not null").join(sample, "doc_id").mapInArrow(run, "toxic int, buckets array<int>").toArrow()
-    flat = rows.column("buckets").combine_chunks()
+    rows = sample.mapInArrow(chosen_buckets, "toxic int, buckets array<int>").toArrow()
     if not len(rows):
-        return fit([], np.zeros(0))
+        return fit([], np.zeros(0), ratio)
+    flat = rows.column("buckets").combine_chunks()
     values, offsets = flat.flatten().to_numpy(), np.concatenate(([0], np.cumsum(flat.value_lengths().to_numpy())))
-    return fit([values[s:e] for s, e in zip(offsets, offsets[1:])], rows.column("toxic").to_numpy() > 0)
+    return fit([values[s:e] for s, e in zip(offsets, offsets[1:])], rows.column("toxic").to_numpy() > 0, ratio)
 
 
 def scores(texts: list[str | None], weight: np.ndarray, intercept: float) -> np.ndarray:
