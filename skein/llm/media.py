@@ -75,11 +75,14 @@ def thresholds(seed: int = 11) -> np.ndarray:
 
 
 def fingerprint(pcm: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """(recordings, words) of 32 bits: two, as a Gray code, for the quartile of each filter's value."""
-    v = _values(chroma(pcm))
+    """(recordings, words) of 32 bits: two, as a Gray code, for the quartile of each filter's value; 0 in silence."""
+    image = chroma(pcm)
+    v = _values(image)
     level = (v > cuts[0]).astype(np.uint32) + (v > cuts[1]) + (v > cuts[2])
     gray = level ^ (level >> np.uint32(1))
-    return (gray.astype(np.uint32) << np.arange(0, 32, 2, dtype=np.uint32)).sum(2, dtype=np.uint32)
+    heard = np.concatenate((np.zeros((len(pcm), 1)), image.sum(2).cumsum(1)), axis=1)
+    silent = heard[:, WIDTH : WIDTH + v.shape[1]] <= heard[:, : v.shape[1]]
+    return np.where(silent, np.uint32(0), (gray.astype(np.uint32) << np.arange(0, 32, 2, dtype=np.uint32)).sum(2, dtype=np.uint32))
 
 
 def render(vectors: np.ndarray) -> np.ndarray:
@@ -103,8 +106,8 @@ def of_pcm(recordings: list[bytes | None], cuts: np.ndarray) -> list[np.ndarray]
             by_size.setdefault(len(r) // 2, []).append(i)
     for size, own in by_size.items():
         if size >= FRAME + (WIDTH - 1) * HOP:
-            for lo in range(0, len(own), max(1, (1 << 22) // size)):
-                part = own[lo : lo + max(1, (1 << 22) // size)]
+            for lo in range(0, len(own), max(1, (1 << 20) // size)):
+                part = own[lo : lo + max(1, (1 << 20) // size)]
                 pcm = np.stack([np.frombuffer(recordings[i], "<i2", size) for i in part]).astype(np.float32) / 32767
                 for i, f in zip(part, fingerprint(pcm, cuts)):
                     out[i] = f
@@ -151,11 +154,13 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recordings rendered from all embeddings, 64 notes each, fingerprinted and aligned."""
     rows = X.need(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding").where("vec_id is not null and embedding is not null")
 
+    held = spark.sparkContext.broadcast(thresholds())
+
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                audio = [to_pcm(render(np.array([v], np.float64))[0]) for v in part.column("embedding").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("vec_id"), pa.array(audio, pa.binary())], names=["rec_id", "audio"])
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                words = of_pcm([to_pcm(render(np.array([v], np.float64))[0]) for v in part.column("embedding").to_pylist()], held.value)
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), pa.array([w.view(np.int32) for w in words], pa.list_(pa.int32()))], names=["rec_id", "words"])
 
-    return align(fingerprints(rows.mapInArrow(run, "rec_id long, audio binary")))
+    return align(rows.mapInArrow(run, "rec_id long, words array<int>"))
