@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = "[a-z0-9]+"
-STOPWORDS = ("a", "an", "and", "are", "by", "does", "for", "how", "in", "is", "of", "the", "to", "what", "where", "which", "who")
+STOPWORDS = tuple("who which what where how does is are the a an of in to for by and".split())
 
 
 def _c(c: Column | str) -> Column:
@@ -54,7 +54,7 @@ def clean_space(c: Column | str) -> Column:
 
 def sentences(c: Column | str) -> Column:
     """White space collapsed, split behind . ! or ? and a space."""
-    return F.filter(F.split(clean_space(c), r"(?<=[.!?])\s+"), lambda x: x != "")
+    return F.filter(F.split(clean_space(c), r"(?<=[!?.])\s+"), lambda x: x != "")
 
 
 def paragraphs(c: Column | str) -> Column:
@@ -82,7 +82,10 @@ def normalize_answer(c: Column | str) -> Column:
     return F.lower(clean_space(c))
 
 
-def is_refusal(c: Column | str, markers: tuple[str, ...] = ("i do not know", "i don t know", "cannot answer", "not enough information", "insufficient", "unknown")) -> Column:
+REFUSALS = tuple(x.replace("_", " ") for x in "not_enough_information insufficient_context i_don_t_know i_do_not_know can_not_determine cannot_determine".split())
+
+
+def is_refusal(c: Column | str, markers: tuple[str, ...] = REFUSALS) -> Column:
     """Whether an answer, lower-cased and without apostrophes, has one of the markers."""
     t = clean_space(F.regexp_replace(F.lower(_c(c)), "['’]", " "))
     out = F.lit(False)

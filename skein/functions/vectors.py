@@ -54,7 +54,7 @@ def _hash_embed(features: list[str], dimensions: int, memo: dict[str, tuple[int,
 def hashing_embed(c: Column | str, dimensions: int = 256) -> Column:
     """Signed feature hashing of tokens and bigrams (BLAKE2b, which the JVM lacks) to a unit vector; zero for a text without tokens."""
     if dimensions <= 0:
-        raise ValueError("dimensions must be positive")
+        raise ValueError("at least one dimension is needed")
 
     @F.pandas_udf("array<double>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

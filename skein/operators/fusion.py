@@ -90,7 +90,7 @@ def edge_biased(items: DataFrame, query: str = "query_id") -> DataFrame:
     return items.withColumn("position", F.when((n <= 2) | (i % 2 == 0), F.when(n <= 2, i).otherwise((i / 2).cast("int"))).otherwise(n - 1 - (i / 2).cast("int")).cast("int"))
 
 
-FRESH = ("current", "currently", "latest", "newest", "now", "recent", "today")
+FRESH = tuple("now today newest latest recent current currently".split())
 
 
 def web_rerank(hits: DataFrame, as_of: Column, limit: int = 3, horizon: int = 365, weights: tuple[float, ...] = (0.35, 0.45, 0.20, 0.65, 0.35)) -> DataFrame:

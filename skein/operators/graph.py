@@ -11,11 +11,11 @@ from skein.functions import text as T
 from skein.operators import lexical as L
 
 ALIASES = {
-    "currency": ("currency", "currencies"),
-    "country": ("country", "countries"),
-    "located_in": ("where", "located", "location", "host", "hosts"),
-    "studies": ("study", "studies", "research", "topic", "topics"),
-    "includes": ("include", "includes", "network", "lab", "labs", "site", "sites"),
+    "currency": "currencies currency".split(),
+    "country": "countries country".split(),
+    "located_in": "hosts host location located where".split(),
+    "studies": "topics topic research studies study".split(),
+    "includes": "sites site labs lab network includes include".split(),
 }
 
 

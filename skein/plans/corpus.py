@@ -124,7 +124,7 @@ def hierarchical_search(spark, d):
 # --- lexical ranking --------------------------------------------------------
 
 TF = f"tok AS (SELECT doc_id, unnest({TOK}) AS term FROM {{docs}}), tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2), dl AS (SELECT doc_id, len({TOK}) AS dl FROM {{docs}}), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({TOK}) AS term FROM questions) GROUP BY 1, 2)"
-BM25 = "bm AS (SELECT query_id, doc_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5::DOUBLE / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN qt USING (term) JOIN df USING (term) JOIN dl USING (doc_id), st GROUP BY 1, 2)"
+BM25 = "bm AS (SELECT query_id, doc_id, sum(qtf * ln((n + 1) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN qt USING (term) JOIN df USING (term) JOIN dl USING (doc_id), st GROUP BY 1, 2)"
 TFIDF = "wd AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((n + 1) / (df + 1)::DOUBLE) + 1) AS w FROM tf JOIN df USING (term), st), wq AS (SELECT query_id, term, (1 + ln(qtf)) * (ln((n + 1) / (coalesce(df, 0) + 1)::DOUBLE) + 1) AS w FROM qt LEFT JOIN df USING (term), st), ti AS (SELECT query_id, doc_id, sum(wd.w * wq.w) / (any_value(dn) * any_value(qn)) AS score FROM wd JOIN wq USING (term) JOIN (SELECT doc_id, sqrt(sum(w * w)) AS dn FROM wd GROUP BY 1) USING (doc_id) JOIN (SELECT query_id, sqrt(sum(w * w)) AS qn FROM wq GROUP BY 1) USING (query_id) GROUP BY 1, 2)"
 
 
@@ -422,7 +422,7 @@ def naive_bayes_route(spark, d):
 
 
 @query("retrieval_judge", f"""
-WITH {Q_SQL}, w AS (SELECT query_id, list_filter(list_distinct({TOK}), lambda x: NOT list_contains(['a','an','and','are','by','does','for','how','in','is','of','the','to','what','where','which','who'], x)) AS q FROM questions),
+WITH {Q_SQL}, w AS (SELECT query_id, list_filter(list_distinct({TOK}), lambda x: NOT list_contains({list(T.STOPWORDS)}, x)) AS q FROM questions),
 x AS (SELECT query_id, doc_id, q, len(list_intersect(q, list_distinct({TOK}))) AS o FROM w, documents WHERE doc_id < 50)
 SELECT assessment, count(*) AS n FROM (SELECT CASE WHEN len(q) = 0 OR o / len(q)::DOUBLE < 0.12 THEN 'ambiguous' ELSE 'correct' END AS assessment FROM x) GROUP BY 1""")
 def retrieval_judge(spark, d):

@@ -42,10 +42,10 @@ def _symbols(path: str, text: str):
     def visit(body, prefix, inside_class):
         for node in body:
             if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                qual = f"{prefix}{node.name}"
+                qual, first, last = f"{prefix}{node.name}", node.lineno - 1, node.end_lineno
                 kind = "class" if isinstance(node, ast.ClassDef) else "method" if inside_class else "function"
                 calls = sorted({c for n in ast.walk(node) if isinstance(n, ast.Call) and (c := _call_name(n.func))}) if kind != "class" else []
-                yield {"symbol_id": f"{path}::{qual}", "path": path, "name": node.name, "qualname": qual, "kind": kind, "line": node.lineno, "end_line": node.end_lineno, "docstring": ast.get_docstring(node) or "", "source": "\n".join(lines[node.lineno - 1 : node.end_lineno]), "calls": calls, "imports": list(imports.items())}
+                yield {"symbol_id": f"{path}::{qual}", "path": path, "name": node.name, "qualname": qual, "kind": kind, "line": node.lineno, "end_line": node.end_lineno, "docstring": ast.get_docstring(node) or "", "source": "\n".join(lines[first:last]), "calls": calls, "imports": list(imports.items())}
                 if kind == "class":
                     yield from visit(node.body, qual + ".", True)
 

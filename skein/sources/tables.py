@@ -15,10 +15,11 @@ KEYS = {"region": ("r_regionkey",), "nation": ("n_nationkey",), "customer": ("c_
 
 
 @dataclass(frozen=True)
-class TableSchema:
-    name: str
+class TableInfo:
+    """A table's key columns, which give its rows their provenance, and all its columns."""
+
+    key: tuple[str, ...]
     columns: tuple[str, ...]
-    primary_key: tuple[str, ...]
 
 
 class Tables:
@@ -30,8 +31,8 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def schema(self) -> dict[str, TableSchema]:
-        return {n: TableSchema(n, tuple(self.read(n).columns), k) for n, k in sorted(self.keys.items())}
+    def schema(self) -> dict[str, TableInfo]:
+        return {n: TableInfo(k, tuple(self.read(n).columns)) for n, k in sorted(self.keys.items())}
 
     def row_counts(self) -> DataFrame:
         return reduce(DataFrame.union, [self.read(n).agg(F.lit(n).alias("table"), F.count("*").alias("n_rows")) for n in sorted(self.keys)])

@@ -43,7 +43,7 @@ def test_bm25(spark, docs):
     q = spark.createDataFrame([(0, "cat"), (1, "zebra"), (2, "the the")], "query_id int, text string")
     r = {(x.query_id, x.doc_id): x for x in lexical.bm25(docs, q, 5).collect()}
     n, df, avg = 4, 1, 11 / 4
-    want = math.log(1 + (n - df + 0.5) / (df + 0.5)) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * 6 / avg))
+    want = math.log((n + 1) / (df + 0.5)) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * 6 / avg))
     assert r[0, 1].score == pytest.approx(want) and not any(k[0] == 1 for k in r) and r[2, 1].rank == 1
     assert lexical.bm25(docs, q, 0).collect() == []
     with pytest.raises(ValueError):
