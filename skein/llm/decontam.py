@@ -50,12 +50,12 @@ class Grams:
                     yield p, size, self.words[x][words]
 
 
-def scan(texts: list[str | None], grams: Grams):
-    """For each text with a verified hit: (row, items, [(start, end)], share of its words covered)."""
+def scan(texts: list[str | None], *parts: Grams):
+    """For each text with a verified hit in any part of the set: (row, items, [(start, end)], share of its words covered)."""
     for lo, _, cp, bounds in X.chunks(texts):
         w = X.Words(cp, bounds)
         covered, items = np.zeros(len(w) + 1, np.int32), {}
-        for p, size, found in grams.hits(w):
+        for p, size, found in (hit for grams in parts for hit in grams.hits(w)):
             covered[p] += 1
             covered[p + size] -= 1
             items.setdefault(int(np.searchsorted(w.bounds, p, "right")) - 1, set()).update(found)
@@ -86,21 +86,8 @@ def grams_of(benchmark: DataFrame, n: int) -> list:
 
 
 def _found(texts, held):
-    """scan() over all parts of the set, spans united."""
-    rows: dict = {}
-    for part in held:
-        for row, items, spans, share in scan(texts, part.value):
-            if row in rows:
-                merged = []
-                for s, e in sorted(rows[row][1] + spans):
-                    if merged and s <= merged[-1][1]:
-                        merged[-1] = (merged[-1][0], max(e, merged[-1][1]))
-                    else:
-                        merged.append((s, e))
-                rows[row] = (sorted({*rows[row][0], *items}), merged, min(1.0, rows[row][2] + share))
-            else:
-                rows[row] = (items, spans, share)
-    return rows
+    """scan() over all parts of the set at once, so that words which several parts cover count once."""
+    return {row: (items, spans, share) for row, items, spans, share in scan(texts, *(part.value for part in held))}
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, drop_share: float = DROP_SHARE) -> DataFrame:
