@@ -12,7 +12,7 @@ from skein.llm import _text as X
 RATE, FRAME, HOP = 2756, 512, 256
 WIDTH = 10
 #: Equal pairs of adjacent words of two fingerprints at one offset that make a candidate, words that must overlap, and the share of differing bits up to which recordings match.
-HITS, OVERLAP, ERRORS = 2, 16, 0.2
+HITS, OVERLAP, ERRORS = 2, 16, 0.25
 #: Kind, lowest pitch class, pitch classes and frames of the filters.
 FILTERS = [
     (0, 0, 3, 3), (0, 3, 3, 3), (0, 6, 3, 3), (0, 9, 3, 3), (1, 0, 6, 4), (1, 6, 6, 4), (1, 3, 6, 8), (2, 0, 4, 4),
@@ -133,7 +133,7 @@ def align(prints: DataFrame) -> DataFrame:
     differences of their places has its peak at offset (rec_b starts so many words into rec_a; the
     smallest of equal peaks). There at least OVERLAP words must overlap
     and at most ERRORS of their bits differ. A match without HITS such places is missed, which
-    about one in twenty at the limit of ERRORS and next to none well within it has. Null ids, null, silent and too short recordings match nothing; of rows
+    about one in fourteen has, most of them near the limit of ERRORS. Null ids, null, silent and too short recordings match nothing; of rows
     that repeat a rec_id one counts.
     """
     one = prints.where("rec_id is not null and size(words) > 0").groupBy("rec_id").agg(F.min("words").alias("words"))

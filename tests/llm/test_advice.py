@@ -1,6 +1,8 @@
 """What a review found missing, each against a plain computation of the whole."""
 
-from skein.llm import decontam
+import numpy as np
+
+from skein.llm import decontam, media
 
 
 def test_parts_of_the_benchmark_give_what_one_set_gives(spark, monkeypatch):
@@ -12,3 +14,15 @@ def test_parts_of_the_benchmark_give_what_one_set_gives(spark, monkeypatch):
     want = plain()
     monkeypatch.setattr(decontam, "BROADCAST_ITEMS", 1)
     assert plain() == want and len(want) == 2
+
+
+def test_recordings_with_up_to_a_quarter_of_their_bits_differing_match(spark):
+    a = np.random.default_rng(0).integers(1, 1 << 31, 40).astype(np.int32)
+    rows = []
+    for k, flip in ((2, 0x00FF0000), (3, 0x03FF0000)):
+        b = a.copy()
+        b[4:] ^= flip
+        rows.append((k, b.tolist()))
+    prints = spark.createDataFrame([(1, a.tolist()), *rows], "rec_id long, words array<int>")
+    got = {(r.rec_a, r.rec_b): r.bit_error for r in media.align(prints).collect()}
+    assert got[1, 2] == 0.225 and (1, 3) not in got
