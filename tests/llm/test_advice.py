@@ -1,7 +1,6 @@
 """What a review found missing, each against a plain computation of the whole."""
 
 import random
-from collections import Counter
 
 import numpy as np
 
@@ -38,21 +37,3 @@ def test_lm_tells_all_characters_apart(spark):
     r = {x.doc_id: x for x in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert r[200].perplexity > 2 * r[100].perplexity and r[201].perplexity > 2 * r[100].perplexity
     assert all(r[i].n_scored == len(t) for i, t in rows)
-
-
-def test_lm_table_grows_and_agrees_with_one_machine(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(lm, "TASK_GRAMS", 200)  # several tasks
-    text = " ".join(random.Random(1).choices(["abra", "cadabra", "simsala", "bim"], k=3000))
-    cp, bounds = lm._whole([text])
-    context, symbol, at, n = lm.distinct(cp, bounds)
-    assert n.sum() == len(text) and len(n) == len(Counter(("\0\0\0" + text)[k : k + 4] for k in range(len(text))))
-    grams = spark.createDataFrame([(0, int(c), int(s), int(k)) for c, s, k in zip(context, symbol, n)], lm.GRAMS)
-    got = {(x.context, x.symbol): x.log_prob for x in lm.train(grams, str(tmp_path)).collect()}
-    ours = np.array([got[int(c), int(s)] for c, s in zip(context, symbol)])[at]
-    table = np.zeros(0x20000, np.uint8)
-    for k, c in enumerate(sorted(set(text))):
-        table[ord(c)] = k + 2
-    code = lm.codes(cp, bounds, table)
-    u, k = np.unique(code, return_counts=True)
-    one = lm.gibbs(u.astype(np.int64), k)[code]
-    assert abs(ours.mean() - one.mean()) < 0.01 and np.corrcoef(ours, one)[0, 1] > 0.99

@@ -1,5 +1,6 @@
 """What SQL can't express, against brute force, an exact round trip or held-out accuracy."""
 
+import itertools
 import random
 import re
 from collections import Counter
@@ -208,20 +209,125 @@ def test_toxicity_held_out():
     assert s[y[400:]].mean() > 0.95 and s[~y[400:]].mean() < 0.02
 
 
-def test_lm_predictions_are_distributions_and_beat_unigrams():
-    rng = random.Random(1)
-    text = " ".join(rng.choices(["abra", "cadabra", "simsala", "bim"], k=3000))
-    cp, bounds = next(X.chunks([text]))[2:]
-    symbol = np.zeros(X.TABLE, np.uint8)
-    for k, c in enumerate(sorted(set(text))):
-        symbol[ord(c)] = k + 2
-    code, n = np.unique(lm.codes(cp, bounds, symbol), return_counts=True)
-    logp = lm.gibbs(code.astype(np.int64), n)
-    assert np.allclose(np.exp(logp.astype(np.float64)).reshape(-1, lm.SYMBOLS).sum(1), 1, atol=1e-3)
-    got = -logp[lm.codes(cp, bounds, symbol)].mean()
-    counts = np.array(list(Counter(text).values()))
-    unigram = -(counts / counts.sum() * np.log(counts / counts.sum())).sum()
-    assert got < 0.5 * unigram
+def _tokens(t):
+    return [x[k : k + lm.LONGEST] for x in re.findall(r" ?[^\W_]+|[\W_]", t) for k in range(0, len(x), lm.LONGEST)]
+
+
+def test_lm_tokens_are_those_of_a_regex(texts):
+    for _, _, cp, bounds in X.chunks([t for _, t, _ in texts]):
+        w = lm.Tokens(cp, bounds)
+        pieces = ["".join(map(chr, cp[s : s + n])) for s, n in zip(w.start, w.size)]
+        want = [_tokens(t) for _, t, _ in texts]
+        assert [pieces[k] for k in w.word] == [x for t in want for x in t]
+        before = [(a, b) for t in want for a, b in zip([None, None, *t], [None, *t][: len(t)])]
+        name = [*pieces, None]
+        assert [(name[a], name[b]) for a, b in zip(w.older, w.context)] == before
+
+
+def test_lm_against_all_seatings():
+    """Two restaurants and their parent: the predictive probabilities of all seatings, weighed, against those sampled."""
+    n, context, to_lower, base = np.array([3, 2, 2, 1]), np.array([0, 0, 1, 1]), np.array([0, 1, 0, 2]), np.array([0.5, 0.3, 0.2])
+    (du, su), (dl, sl) = ((x[k] for x in (lm.DISCOUNT, lm.STRENGTH)) for k in (4, 3))
+    rising = lambda s, d, t: np.prod([s + d * i for i in range(1, t)])
+    count = lambda d, n, t: np.exp(lm.stirling(d)[n, t])
+    mean, whole = np.zeros(4), 0.0
+    for t in itertools.product(*[range(1, k + 1) for k in n]):
+        t = np.array(t)
+        tc = np.bincount(context, t)
+        weight = np.prod([count(du, a, b) for a, b in zip(n, t)]) * np.prod([rising(su, du, int(k)) for k in tc])
+        below = np.bincount(to_lower, t).astype(int)
+        for t0 in itertools.product(*[range(1, k + 1) for k in below]):
+            t0 = np.array(t0)
+            w = weight * np.prod([count(dl, a, b) for a, b in zip(below, t0)]) * rising(sl, dl, int(t0.sum())) * np.prod(base**t0)
+            # the parents' restaurant has as many customers as the tables above, which their process must seat
+            w /= np.prod([sl + i for i in range(1, below.sum())])
+            p0 = (below - dl * t0 + (sl + dl * t0.sum()) * base) / (below.sum() + sl)
+            p = (n - du * t + ((su + du * tc) / (np.bincount(context, n) + su))[context] * p0[to_lower] * (np.bincount(context, n) + su)[context]) / (np.bincount(context, n) + su)[context]
+            mean, whole = mean + w * p, whole + w
+    got = lm.gibbs([lm.Level(4, context * 8 + to_lower, 8), lm.Level(3, np.arange(3), 8)], [to_lower], n, base, np.random.default_rng(0), 50, 4000)
+    assert np.abs(got - mean / whole).max() < 0.03
+
+
+def test_lm_predictions_are_distributions():
+    """What restaurants give to their dishes and what they leave to words never seen make 1."""
+    rng = np.random.default_rng(0)
+    two, word = np.divmod(np.unique(rng.integers(0, 400, 300)), 20)
+    n = rng.integers(1, 50, len(two)).astype(float)
+    level = lm.Level(4, two * 20 + word, 20)
+    base = np.full(len(n), 1 / 20)
+    level.seat(n, base, rng)
+    left = (lm.STRENGTH[4] + lm.DISCOUNT[4] * np.bincount(level.at, level.tables)) / (np.bincount(level.at, n) + lm.STRENGTH[4])
+    unseen = 1 - np.bincount(level.at, base)
+    assert np.allclose(np.bincount(level.at, level.own(n, base)) + left * unseen, 1)
+
+
+def test_lm_leaving_one_out_is_a_model_without_it():
+    n, context, base = np.array([1, 4, 2, 1]), np.array([0, 0, 1, 1]), np.array([0.1, 0.2, 0.3, 0.05])
+    level = lm.Level(4, context * 8 + np.arange(4), 8)
+    level.tables = np.array([1.0, 2.0, 2.0, 1.0])
+    got = level.left(n.astype(float), base, base / 2)
+    for k in range(4):
+        rest, tables = n.astype(float).copy(), level.tables.copy()
+        closes = n[k] == tables[k]
+        rest[k] -= 1
+        tables[k] -= closes
+        other = lm.Level(4, level.code, 8)
+        other.tables = tables
+        assert np.isclose(got[k], other.own(rest, np.where(closes & (np.arange(4) == k), base / 2, base))[k])
+
+
+def test_lm_exact_tables_are_those_of_the_process():
+    for n in (2, 5, 17):
+        level, base, seen = lm.Level(3, np.arange(20_000), 1), np.full(20_000, 0.3), np.zeros(n + 1)
+        level.seat(np.full(20_000, float(n)), base, np.random.default_rng(1))
+        d, s = lm.DISCOUNT[3], lm.STRENGTH[3]
+        want = np.array([0, *[np.exp(lm.stirling(d)[n, t]) * np.prod([(s + d * i) * 0.3 for i in range(t)]) for t in range(1, n + 1)]])
+        seen = np.bincount(level.tables.astype(int), minlength=n + 1) / 20_000
+        assert np.abs(seen - want / want.sum()).max() < 0.015
+
+
+def test_lm_blocks_and_buckets_agree_with_one_machine(spark, texts):
+    """The Spark plan against dictionaries of the whole corpus, in one piece and in many blocks, buckets and restaurants of a hot context."""
+    rows = [(i, t) for i, t, _ in texts]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id").sortWithinPartitions("doc_id")
+    grams, of = Counter(), {}
+    for i, t in rows:
+        w = _tokens(t)
+        of[i] = list(zip([None, None, *w], [None, *w], w))
+        grams.update(of[i])
+    name = {k: i for i, k in enumerate(dict.fromkeys(x for g in grams for x in g))}
+    two = {k: i for i, k in enumerate(dict.fromkeys((b, a) for a, b, _ in grams))}
+    end = {k: i for i, k in enumerate(dict.fromkeys((b or "")[-lm.ENDING :] for _, b, _ in grams))}
+    one, ending = np.zeros(len(two), np.int64), np.zeros(len(name), np.int64)
+    for (b, _), k in two.items():
+        one[k], ending[name[b]] = name[b], end[(b or "")[-lm.ENDING :]]
+    cp, bounds = next(X.chunks([t for _, t in rows], 1 << 62))[2:]
+    w = lm.Tokens(cp, bounds)
+    pair, n = np.unique(w.pairs(cp)[0], return_counts=True)
+    plan = lm.Plan(np.ones(len(pair)), pair, n)
+    spelled = np.zeros(len(name))
+    for s, k, x in zip(w.start, w.size, plan.spelled(w, cp)):
+        spelled[name["".join(map(chr, cp[s : s + k]))]] = x
+    keys = list(grams)
+    logs = dict(zip(keys, lm.predict(np.array([two[b, a] for a, b, _ in keys]), one, ending, np.array([name[c] for _, _, c in keys]), spelled, np.array(list(grams.values())), np.random.default_rng(3))))
+    want = np.array([sum(logs[g] for g in of[i]) for i, _ in rows])
+    whole = {r.doc_id: r for r in lm.score(d).collect()}
+    got = np.array([whole[i].log_prob for i, _ in rows])
+    assert np.corrcoef(got, want)[0, 1] > 0.999 and abs(got.sum() / want.sum() - 1) < 0.02
+    assert all(whole[i].n_scored == len(t) for i, t in rows)
+    many = {r.doc_id: r.log_prob for r in lm.score(d, 20_000, 2_000).collect()}
+    split = np.array([many[i] for i, _ in rows])
+    assert np.corrcoef(split, got)[0, 1] > 0.99 and abs(split.sum() / got.sum() - 1) < 0.1
+
+
+def test_lm_tells_documents_that_occur_twice(spark):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("thernaedionis", k=rng.randrange(2, 7))) for _ in range(3000)]
+    once = [" ".join(rng.choices(vocabulary, k=120)) for _ in range(150)]
+    rows = list(enumerate([*once, *once[:50]]))
+    r = {x.doc_id: x.perplexity for x in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    limit = np.quantile([r[i] for i in range(50, 150)], 0.02)
+    assert all(r[i] < limit for i in [*range(50), *range(150, 200)])
 
 
 def test_seating_has_the_mean_of_the_process():
