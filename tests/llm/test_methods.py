@@ -308,8 +308,8 @@ def test_lm_blocks_and_buckets_agree_with_one_machine(spark, texts):
     spelled = np.zeros(len(name))
     for s, k, x in zip(w.start, w.size, plan.spelled(w, cp)):
         spelled[name["".join(map(chr, cp[s : s + k]))]] = x
-    keys = list(grams)
-    logs = dict(zip(keys, lm.predict(np.array([two[b, a] for a, b, _ in keys]), one, ending, np.array([name[c] for _, _, c in keys]), spelled, np.array(list(grams.values())), np.random.default_rng(3))))
+    keys = sorted(grams, key=lambda g: (two[g[1], g[0]], name[g[2]]))
+    logs = dict(zip(keys, lm.predict(np.array([two[b, a] for a, b, _ in keys]), one, ending, np.array([name[c] for _, _, c in keys]), spelled, np.array([grams[k] for k in keys]), np.random.default_rng(3))))
     want = np.array([sum(logs[g] for g in of[i]) for i, _ in rows])
     whole = {r.doc_id: r for r in lm.score(d).collect()}
     got = np.array([whole[i].log_prob for i, _ in rows])
