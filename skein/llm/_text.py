@@ -134,3 +134,16 @@ def checkpoint_dir(spark) -> None:
 def need(df, *names: str):
     """The named columns, and no others, of a table that may have more."""
     return df.select(*[df[f"`{n}`"] for n in names])
+
+
+def fresh(df, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name.lower() in [c.lower() for c in df.columns]:
+        name += "_"
+    return name
+
+
+def map_rows(df, run):
+    """df.mapInArrow(run) with df's own columns, whatever their names."""
+    plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)

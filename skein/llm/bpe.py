@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm import _text as X
 
+#: Where the ranks are read, on the driver, unless a call names another file.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A worker forgets the words it has encoded at so many; they are then encoded anew.
@@ -242,7 +243,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     The vocabulary is loaded from path, on the driver, and broadcast; its size doesn't depend on the
     data. An empty text has no tokens; a null text has null ids, number and round_trip. Every
-    row is encoded on its own, also rows that repeat a doc_id or have none.
+    row is encoded on its own, also rows that repeat a doc_id or have none; an empty table has no row.
     """
     held = _Held(docs.sparkSession, path)
 
@@ -273,9 +274,12 @@ def decode_ids(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     return X.need(encoded, "doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, ids, n_tokens of every document."""
-    held = _Held(spark, VOCABULARY)
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str = VOCABULARY) -> DataFrame:
+    """doc_id, lang, source, ids, n_tokens of every row of docs, with the vocabulary at path.
+
+    A null text has null ids and n_tokens, an empty one none and 0; other columns may be null and go, rows that repeat stay, an empty table stays empty.
+    """
+    held = _Held(spark, path)
 
     def run(batches):
         enc = _encoder(held)

@@ -11,8 +11,8 @@ from skein.llm import _text as X
 
 N = 8
 DROP_SHARE = 0.5
-#: Above so many benchmark rows the set is not broadcast; batches of this many are scanned one after another.
-BROADCAST_ITEMS = 200_000
+#: Characters of the benchmark whose n-grams are one broadcast; a larger benchmark is broadcast in parts, all of which a worker holds.
+BROADCAST_CHARS = 1 << 26
 SPAN = "array<struct<start:int,end:int>>"
 
 
@@ -80,7 +80,7 @@ def grams_of(benchmark: DataFrame, n: int) -> list:
     """Broadcasts of the test n-grams, in as many parts as their size, which is counted first, asks for."""
     sc = benchmark.sparkSession.sparkContext
     items = X.need(benchmark, "item_id", "text").where("item_id is not null and text is not null").distinct()
-    parts = -(-items.count() // BROADCAST_ITEMS) or 1
+    parts = -(-(items.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0) // BROADCAST_CHARS) or 1
     part = F.pmod(F.xxhash64("item_id"), F.lit(parts))
     return [sc.broadcast(Grams(sorted((r["item_id"], r["text"]) for r in items.where(part == k).collect()), n)) for k in range(parts)]
 
@@ -99,7 +99,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, drop_share:
     cover more than drop_share of its words, else its spans are cut ("cut", clean_text).
     A benchmark text shorter than n words counts as one n-gram of its own length;
     one without words, a null text or a null item_id matches nothing. Null, empty and clean
-    documents have no row; repeated rows and repeated benchmark rows change nothing else.
+    documents have no row, nor has an empty table; repeated rows and repeated benchmark rows change nothing else.
     """
     held = grams_of(benchmark, n)
     schema = pa.schema([("doc_id", pa.int64()), ("item_ids", pa.list_(pa.int64())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("share", pa.float64()), ("action", pa.string()), ("clean_text", pa.string())])
@@ -117,9 +117,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, drop_share:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with the spans cut, and without the documents that are mostly benchmark text; n_chars follows the text."""
+    """docs with the spans cut, and without the documents that are mostly benchmark text; n_chars follows the text.
+
+    Same columns, whatever their names. Null and empty texts stay, as do null doc_ids; repeated rows are cut each on its own, an empty
+    table stays empty, and of an empty benchmark nothing is found.
+    """
     held = grams_of(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), N)
-    names, schema = docs.columns, docs.schema
+    names = docs.columns
 
     def run(batches):
         for batch in batches:
@@ -133,7 +137,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 batch = replace_text(batch, names, texts)
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, schema)
+    return X.map_rows(docs, run)
 
 
 def replace_text(batch: pa.RecordBatch, names: list[str], texts: list[str | None]) -> pa.RecordBatch:

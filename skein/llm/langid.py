@@ -137,7 +137,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             best, _ = score(batch.column(at).to_pylist(), langs, model)
             yield batch.filter(pa.array([x != UNKNOWN for x in best], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return X.map_rows(docs, run)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,12 +129,12 @@ def fingerprints(audio: DataFrame) -> DataFrame:
 def align(prints: DataFrame) -> DataFrame:
     """rec_a, rec_b, offset, n_overlap, bit_error: the pairs of recordings (rec_a < rec_b) that match.
 
-    Recordings with two equal words in a row are brought together; the histogram of the
-    differences of their places has its peak at offset (rec_b starts so many words into rec_a; the
-    smallest of equal peaks). There at least OVERLAP words must overlap
-    and at most ERRORS of their bits differ. A match without HITS such places is missed, which
+    Recordings with two equal words in a row are brought together; of the differences of their places (rec_b starts
+    so many words into rec_a) each that HITS places share is verified: at least OVERLAP words must overlap
+    and at most ERRORS of their bits differ. Of those that pass, the one of most places is the offset, then that of the
+    fewest errors, then the smallest. A match without HITS such places is missed, which
     about one in fourteen has, most of them near the limit of ERRORS. Null ids, null, silent and too short recordings match nothing; of rows
-    that repeat a rec_id one counts.
+    that repeat a rec_id that with the least words in order counts; an empty table has no row.
     """
     one = prints.where("rec_id is not null and size(words) > 0").groupBy("rec_id").agg(F.min("words").alias("words"))
     n = F.greatest(F.size("words") - 1, F.lit(0))
@@ -142,12 +142,13 @@ def align(prints: DataFrame) -> DataFrame:
     at = one.select("rec_id", F.posexplode(two).alias("place", "word")).where("word <> 0")
     a, b = (at.select(F.col("rec_id").alias(f"rec_{x}"), F.col("place").alias(f"place_{x}"), "word") for x in "ab")
     hits = a.join(b, "word").where("rec_a < rec_b").groupBy("rec_a", "rec_b", (F.col("place_a") - F.col("place_b")).alias("offset")).agg(F.count("*").alias("hits")).where(F.col("hits") >= HITS)
-    best = hits.groupBy("rec_a", "rec_b").agg(F.min(F.struct((-F.col("hits")).alias("h"), "offset")).alias("m")).select("rec_a", "rec_b", F.col("m.offset").alias("offset"))
     wa, wb = (one.select(F.col("rec_id").alias(f"rec_{x}"), F.col("words").alias(f"words_{x}")) for x in "ab")
     begin_a, begin_b = F.greatest("offset", F.lit(0)), F.greatest(-F.col("offset"), F.lit(0))
-    both = best.join(wa, "rec_a").join(wb, "rec_b").withColumn("n_overlap", F.least(F.size("words_a") - begin_a, F.size("words_b") - begin_b))
-    differ = F.aggregate(F.zip_with(F.slice("words_a", begin_a + 1, F.col("n_overlap")), F.slice("words_b", begin_b + 1, F.col("n_overlap")), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return both.where(F.col("n_overlap") >= OVERLAP).withColumn("bit_error", F.round(differ / (F.col("n_overlap") * 32), 6)).where(F.col("bit_error") <= ERRORS).select("rec_a", "rec_b", "offset", "n_overlap", "bit_error")
+    both = hits.join(wa, "rec_a").join(wb, "rec_b").withColumn("n_overlap", F.least(F.size("words_a") - begin_a, F.size("words_b") - begin_b))
+    differ = F.aggregate(F.zip_with(F.slice("words_a", begin_a + 1, F.col("n_overlap")), F.slice("words_b", begin_b + 1, F.col("n_overlap")), lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(F.lit((1 << 32) - 1)))), F.lit(0), lambda s, x: s + x)
+    good = both.where(F.col("n_overlap") >= OVERLAP).withColumn("bit_error", F.round(differ / (F.col("n_overlap") * 32), 6)).where(F.col("bit_error") <= ERRORS)
+    best = good.groupBy("rec_a", "rec_b").agg(F.min(F.struct((-F.col("hits")).alias("h"), "bit_error", "offset", "n_overlap")).alias("m"))
+    return best.select("rec_a", "rec_b", "m.offset", "m.n_overlap", "m.bit_error")
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,8 @@ CLASSES = 98
 WINDOW, MARGIN = 768, 64
 #: Documents, about, whose prose surrounds the labelled spans of the training set.
 TRAIN_DOCS = 600
+#: Characters of each of them that go to the driver.
+PROSE = 4000
 
 
 def _classes() -> np.ndarray:
@@ -342,13 +344,19 @@ def mask(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, seed: int = 5) -> Tagger:
-    """A tagger fitted on labelled spans put into the prose of about train_docs documents, chosen by a hash of doc_id."""
-    rows = X.need(docs, "doc_id", "text").where("doc_id is not null and text is not null")
+def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, prose_chars: int = PROSE, seed: int = 5) -> Tagger:
+    """A tagger fitted on labelled spans put into the prose of about train_docs documents.
+
+    Documents, and the place in each from which prose_chars characters are taken, are chosen by hashes of doc_id and text.
+    """
+    rows = X.need(docs, "doc_id", "text").where("text is not null")
     n = max(1, rows.count())
     share = max(1, min(1_000_000, 1_000_000 * train_docs // n))
-    prose = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).select("doc_id", F.substring("text", 1, 4000).alias("text")).orderBy("doc_id", "text").limit(2 * train_docs).collect()
-    return Tagger().train(*examples([r["text"] for r in prose], 4000, 96, seed))
+    name = F.xxhash64("doc_id", "text")
+    room = F.greatest(F.length("text") - F.lit(prose_chars), F.lit(0)) + 1
+    at = (F.pmod(F.xxhash64(name), room.cast("long")) + 1).cast("int")
+    prose = rows.where(F.pmod(name, F.lit(1_000_000)) < share).select(name.alias("name"), F.substr(F.col("text"), at, F.lit(prose_chars)).alias("text")).distinct().collect()
+    return Tagger().train(*examples([r["text"] for r in sorted(prose)], 4000, 96, seed))
 
 
 _SPANS = "array<struct<start:int,end:int,label:string>>"
@@ -375,7 +383,10 @@ def detect(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with PII masked; all rows, same columns, n_chars follows the text."""
+    """docs with PII masked; all rows, same columns, n_chars follows the text.
+
+    Null and empty texts stay as they are, as do all other columns; repeated rows are masked each on its own. Of an empty table nothing is learned.
+    """
     held = spark.sparkContext.broadcast(train(docs))
     names = docs.columns
 
@@ -385,7 +396,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             found = dict(find(texts, held.value))
             yield replace_text(batch, names, [mask(t, found[r]) if r in found else t for r, t in enumerate(texts)]) if found else batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return X.map_rows(docs, run)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

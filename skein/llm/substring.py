@@ -113,20 +113,23 @@ def repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, cap: in
 
 
 def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with the passages of repeats() cut from their text; same rows and columns."""
-    held = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    joined = docs.join(held, docs["doc_id"] == held["_id"], "left").drop("_id")
-    schema, names = docs.schema, docs.columns
+    """docs with the passages of repeats() cut from their text; same rows and columns.
+
+    Rows with a null doc_id or text, or without a passage, stay as they are; other columns may have any name.
+    """
+    key, found = X.fresh(docs, "key"), X.fresh(docs, "found")
+    held = spans.groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(found))
+    joined = docs.join(held, docs["doc_id"] == F.col(key), "left").drop(key)
+    at = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(names.index("text")).to_pylist()
-            found = batch.column(batch.num_columns - 1).to_pylist()
-            columns = list(batch.columns[:-1])
-            columns[names.index("text")] = pa.array([cut(t, [(s["start"], s["end"]) for s in f]) if f and t else t for t, f in zip(texts, found)], pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            texts, spans = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            columns = list(batch.columns)
+            columns[at] = pa.array([cut(t, [(s["start"], s["end"]) for s in f]) if f and t else t for t, f in zip(texts, spans)], pa.string())
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return joined.mapInArrow(run, schema)
+    return X.map_rows(joined, run).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,8 @@ ORDERS = (4, 5)
 #: Labelled rows of each class that a model is fitted on, about.
 PER_CLASS = 4000
 THRESHOLD = 0.5
+#: A bucket whose log-count ratio is nearer to 0, or which fewer labelled documents have, is no feature: it bounds what the driver fits on.
+LEAST_RATIO, LEAST_ROWS = 1.0, 5
 
 
 def present(texts: list[str | None], use: np.ndarray | None = None):
@@ -30,7 +32,7 @@ def present(texts: list[str | None], use: np.ndarray | None = None):
         yield lo, hi, key >> BITS, key & (1 << BITS) - 1
 
 
-def ratios(p: np.ndarray, q: np.ndarray, toxic: int, clean: int, least: float = 1.0, rows: int = 5) -> np.ndarray:
+def ratios(p: np.ndarray, q: np.ndarray, toxic: int, clean: int, least: float = LEAST_RATIO, rows: int = LEAST_ROWS) -> np.ndarray:
     """Naive Bayes log-count ratio of each bucket that is in p toxic and q clean documents; 0 within least of 0, and for buckets in fewer than rows documents."""
     ratio = np.log((p + 1) / (toxic + 1)) - np.log((q + 1) / (clean + 1))
     return np.where((np.abs(ratio) >= least) & (p + q >= rows), ratio, 0)
@@ -62,7 +64,7 @@ def fit(buckets: list[np.ndarray], toxic: np.ndarray, ratio: np.ndarray, l2: flo
     return weight, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, least_ratio: float = LEAST_RATIO, least_rows: int = LEAST_ROWS) -> tuple[np.ndarray, float]:
     """Weights and intercept, fitted on about per_class labelled documents of each class, chosen by a hash of doc_id.
 
     A document with several labels is toxic if one says so; a null label says nothing.
@@ -92,7 +94,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     found = sample.mapInArrow(counts, "bucket int, p int, q int").groupBy("bucket").agg(F.sum("p").cast("int").alias("p"), F.sum("q").cast("int").alias("q")).toArrow()
     n = np.zeros((2, (1 << BITS) + 1), np.int64)
     n[:, found.column("bucket").to_numpy()] = found.column("p").to_numpy(), found.column("q").to_numpy()
-    ratio = ratios(n[0, :-1], n[1, :-1], n[0, -1], n[1, -1])
+    ratio = ratios(n[0, :-1], n[1, :-1], n[0, -1], n[1, -1], least_ratio, least_rows)
     held = spark.sparkContext.broadcast(np.append(ratio != 0, False))
 
     def chosen_buckets(batches):
@@ -111,24 +113,24 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
 
 
 def scores(texts: list[str | None], weight: np.ndarray, intercept: float) -> np.ndarray:
-    """Probability of each text to be toxic; 0 for one without n-grams."""
+    """Probability of each text to be toxic; 0 for one without an n-gram that has a weight, of which the model knows nothing."""
     out = np.zeros(len(texts))
     use = weight != 0
     for lo, hi, doc, bucket in present(texts, use):
         z = np.bincount(doc, weight[bucket], hi - lo) + intercept
-        out[lo:hi] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    out[[i for i, t in enumerate(texts) if not t]] = 0
+        out[lo:hi] = np.where(np.bincount(doc, minlength=hi - lo) > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0)
     return out
 
 
-def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD, least_ratio: float = LEAST_RATIO, least_rows: int = LEAST_ROWS) -> DataFrame:
     """doc_id, score: the rows of docs with a probability of threshold or more to be toxic.
 
     Every text is scored whole; the broadcast model has 2 ** 20 weights, whatever the data.
-    Null and empty texts are never toxic. Repeated rows are scored each on its own.
-    Without labels, or with those of one class only, the model knows but that class.
+    Null and empty texts, and those without an n-gram that is a feature, are never toxic. Repeated rows are scored each on its own;
+    a null doc_id is kept. Without labels, with those of one class only, or with so few that no n-gram is in least_rows
+    labelled documents, nothing is toxic. An empty table has no row.
     """
-    held = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class))
+    held = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class, least_ratio, least_rows))
 
     def run(batches):
         weight, intercept = held.value
