@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = "[a-z0-9]+"
-STOPWORDS = tuple("who which what where how does is are the a an of in to for by and".split())
+STOPWORDS = ("a", "an", "the", "and", "are", "is", "by", "for", "in", "of", "to", "does", "how", "what", "where", "which", "who")
 
 
 def _c(c: Column | str) -> Column:
@@ -82,7 +82,7 @@ def normalize_answer(c: Column | str) -> Column:
     return F.lower(clean_space(c))
 
 
-REFUSALS = tuple(x.replace("_", " ") for x in "not_enough_information insufficient_context i_don_t_know i_do_not_know can_not_determine cannot_determine".split())
+REFUSALS = ("i do not know", "i don t know", "cannot determine", "can not determine", "insufficient context", "not enough information")
 
 
 def is_refusal(c: Column | str, markers: tuple[str, ...] = REFUSALS) -> Column:

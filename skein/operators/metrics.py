@@ -125,3 +125,57 @@ def field_accuracy(expected: Column, actual: Column) -> Column:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def citation_precision(cited: Column, relevant: Column) -> Column:
+    """Share of the distinct cited documents that are relevant; 0 without a citation."""
+    c = F.array_distinct(cited)
+    return F.when(F.size(c) > 0, F.size(F.array_intersect(c, relevant)) / F.size(c)).otherwise(0.0)
+
+
+def citation_recall(cited: Column, relevant: Column) -> Column:
+    """Share of the distinct relevant documents that are cited; 0 where none is relevant."""
+    r = F.array_distinct(relevant)
+    return F.when(F.size(r) > 0, F.size(F.array_intersect(r, cited)) / F.size(r)).otherwise(0.0)
+
+
+def recall_at_budget(found: Column, relevant: Column, budget: int) -> Column:
+    """Share of the relevant documents among the first budget ones found; 1 where none is relevant."""
+    r = F.array_distinct(relevant)
+    return F.when(F.size(r) > 0, F.size(F.array_intersect(r, F.slice(found, 1, budget))) / F.size(r)).otherwise(1.0)
+
+
+def complete_at_budget(found: Column, relevant: Column, budget: int) -> Column:
+    return F.size(F.array_except(relevant, F.slice(found, 1, budget))) == 0
+
+
+def score_margin(rankings: DataFrame, qrels: DataFrame, query: str = "query_id", doc: str = "doc_id") -> DataFrame:
+    """query, margin: the best score of a relevant document less that of any other; null if either is missing."""
+    j = rankings.join(qrels.select(query, doc, F.lit(True).alias("good")), [query, doc], "left")
+    return j.groupBy(query).agg((F.max(F.when(F.col("good"), F.col("score"))) - F.max(F.when(F.col("good").isNull(), F.col("score")))).alias("margin"))
+
+
+def summarize(rows: DataFrame, by: str | None = None, **measures: Column) -> DataFrame:
+    """Means of measures (booleans count as 0 and 1) and n over all rows (class "all"), and over each value of by."""
+    num = {k: F.avg(c.cast("double")).alias(k) for k, c in measures.items()}
+    if by is None:
+        return rows.agg(F.lit("all").alias("class"), *num.values(), F.count("*").alias("n"))
+    one = rows.select(F.col(by).cast("string").alias("class"), *[c.cast("double").alias(k) for k, c in measures.items()])
+    g = one.rollup("class").agg(F.grouping("class").alias("top"), *[F.avg(k).alias(k) for k in measures], F.count("*").alias("n"))
+    return g.select(F.when(F.col("top") == 1, "all").otherwise(F.col("class")).alias("class"), *measures, "n")
+
+
+def action_counts(expected: DataFrame, actual: DataFrame, task: str = "task_id") -> DataFrame:
+    """task, expected, actual, matched: actions (task, tool, argument) as multisets."""
+    e = expected.groupBy(task, "tool", "argument").agg(F.count("*").alias("e"))
+    a = actual.groupBy(task, "tool", "argument").agg(F.count("*").alias("a"))
+    j = e.join(a, [task, "tool", "argument"], "full").fillna(0, ["e", "a"])
+    return j.groupBy(task).agg(F.sum("e").alias("expected"), F.sum("a").alias("actual"), F.sum(F.least("e", "a")).alias("matched"))
+
+
+def evidence_metrics(found: DataFrame, expected: DataFrame, query: str = "query_id", item: str = "record_id") -> DataFrame:
+    """query, recall, precision, complete of the records found for a query against those expected."""
+    f, e = found.select(query, item).distinct().withColumn("f", F.lit(1)), expected.select(query, item).distinct().withColumn("e", F.lit(1))
+    j = f.join(e, [query, item], "full").fillna(0, ["f", "e"]).groupBy(query).agg(F.sum("f").alias("f"), F.sum("e").alias("e"), F.sum(F.col("f") * F.col("e")).alias("both"))
+    share = lambda n: F.when(F.col(n) > 0, F.col("both") / F.col(n)).otherwise(1.0)
+    return j.select(query, share("e").alias("recall"), share("f").alias("precision"), (F.col("both") == F.col("e")).alias("complete"))

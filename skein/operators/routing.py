@@ -9,8 +9,8 @@ from skein.functions import text as T
 from skein.operators import lexical as L
 
 ROUTES = ("no_retrieval", "single", "iterative")
-DIRECT = tuple(x.replace("_", " ") for x in "_minus_ _plus_ repeat_the_token uppercase return_the_word answer_only_the_number".split())
-BRIDGE = tuple(x.replace("_", " ") for x in "article_linked_from company_that country_where city_where database_behind data_store_used_by language_used_by".split())
+DIRECT = ("answer only the number", "return the word", "uppercase", "repeat the token", " plus ", " minus ")
+BRIDGE = ("article linked from", "city where", "company that", "country where", "data store used by", "database behind", "language used by")
 
 
 def _any(text: Column, markers: tuple[str, ...]) -> Column:
@@ -66,12 +66,12 @@ def assess(query: Column, text: Column, least: float = 0.12) -> Column:
     return F.when(stale, "incorrect").when((F.size(q) == 0) | (T.overlap(q, T.tokens(text)) < least), "ambiguous").otherwise("correct")
 
 
-_NO_ENTITY = tuple("STALE CURRENT Project The How Who Where Which What".split())
+_NO_ENTITY = ("CURRENT", "How", "Project", "STALE", "The", "What", "Where", "Which", "Who")
 
 
 def bridge_query(question: Column, evidence: Column, most: int = 4) -> Column:
     """The first capitalised name in evidence that the question lacks, and up to most content words of the question that evidence lacks; null without a name."""
-    names = F.regexp_extract_all(evidence, F.lit(r"\b\p{Lu}(?:-|[0-9a-zA-Z])+\b"), F.lit(0))
+    names = F.regexp_extract_all(evidence, F.lit(r"\b[A-Z][-0-9A-Za-z]+\b"), F.lit(0))
     q, e = T.token_set(question), T.token_set(evidence)
     new = F.filter(names, lambda n: ~n.isin(*_NO_ENTITY) & ~F.array_contains(q, F.lower(n)))
     rest = F.slice(F.array_except(T.content_tokens(question), e), 1, most)

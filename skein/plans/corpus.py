@@ -9,11 +9,13 @@ from skein.functions import text as T
 from skein.functions import vectors as V
 from skein.operators import calibration as C
 from skein.operators import chunking as K
+from skein.operators import control as A
 from skein.operators import filters as P
 from skein.operators import fusion as X
 from skein.operators import lexical as L
 from skein.operators import metrics as M
 from skein.operators import routing as R
+from skein.operators import vectorsearch as S
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -41,7 +43,7 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    """Every fourth benchmark item, up to its first comma or full stop, is a query."""
+    """The first 60 characters of every fourth benchmark item are a query."""
     return table(spark, d, "benchmark").where("item_id % 4 = 0").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("text"))
 
 
@@ -264,9 +266,7 @@ _DOT = "list_inner_product(CAST({} AS DOUBLE[]), CAST({} AS DOUBLE[]))"
 @query("cosine_topk", "SELECT query_id, doc_id, round(score, 6) AS score, rank FROM " + ranked("(SELECT q.vec_id AS query_id, v.vec_id AS doc_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 20)", 5, False))
 def cosine_topk(spark, d):
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    s = q.crossJoin(e.select(F.col("vec_id").alias("doc_id"), "embedding")).select("query_id", "doc_id", V.cosine(F.col("q"), F.col("embedding")).alias("score"))
-    return r6(L.top_k(s, 5, positive=False), "score")
+    return r6(S.top_k(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 5), "score")
 
 
 @query("label_centroid", "SELECT label, dim, round(avg(x), 6) AS mean FROM (SELECT label, CAST(unnest(range(0, len(embedding))) AS INT) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY 1, 2")
@@ -289,11 +289,9 @@ def hashing_embed(spark, d):
 
 @query("vector_rag")
 def vector_rag(spark, d):
-    """The naive RAG path: chunks, hashed vectors, the best chunk of each question as answer and citation."""
-    chunks = K.fixed(docs(spark, d).where("doc_id < 300"), 80, 10).select("chunk_id", "doc_id", "text", V.hashing_embed("text", 64).alias("v"))
-    q = questions(spark, d).select("query_id", V.hashing_embed("text", 64).alias("q"))
-    s = q.crossJoin(chunks).select("query_id", "chunk_id", F.col("doc_id").alias("cited"), F.col("text").alias("answer"), V.dot(F.col("q"), F.col("v")).alias("score"))
-    return r6(L.top_k(s, 1, doc="chunk_id", positive=False), "score")
+    """The naive RAG path: chunks of all documents, hashed vectors, the best chunk of each question as answer and citation."""
+    top = A.naive_rag(docs(spark, d), questions(spark, d), 80, 10, 64, 1)
+    return r6(top.select("query_id", "chunk_id", F.col("doc_id").alias("cited"), F.col("text").alias("answer"), "score", "rank"), "score")
 
 
 # --- metrics ----------------------------------------------------------------

@@ -133,7 +133,7 @@ def sla_breach(spark, d):
 # --- graph ------------------------------------------------------------------
 
 _EDGES = """edges AS (
-  SELECT 'c' || c_custkey AS subject, 'located_in' AS relation, 'n' || c_nationkey AS object, CAST(c_custkey AS BIGINT) AS doc_id FROM customer WHERE c_custkey < 200
+  SELECT 'c' || c_custkey AS subject, 'located_in' AS relation, 'n' || c_nationkey AS object, CAST(c_custkey AS BIGINT) AS doc_id FROM customer
   UNION ALL SELECT 's' || s_suppkey, 'located_in', 'n' || s_nationkey, CAST(s_suppkey + 100000 AS BIGINT) FROM supplier
   UNION ALL SELECT 'n' || n_nationkey, 'part_of', 'r' || n_regionkey, CAST(n_nationkey + 200000 AS BIGINT) FROM nation)"""
 
@@ -141,7 +141,7 @@ _EDGES = """edges AS (
 def edges(spark, d):
     c, s, n = (table(spark, d, x) for x in ("customer", "supplier", "nation"))
     edge = lambda t, a, k, r, b, o, plus: t.select(F.concat(F.lit(a), F.col(k).cast("string")).alias("subject"), F.lit(r).alias("relation"), F.concat(F.lit(b), F.col(o).cast("string")).alias("object"), (F.col(k) + plus).cast("long").alias("doc_id"))
-    return edge(c.where("c_custkey < 200"), "c", "c_custkey", "located_in", "n", "c_nationkey", 0).union(edge(s, "s", "s_suppkey", "located_in", "n", "s_nationkey", 100000)).union(edge(n, "n", "n_nationkey", "part_of", "r", "n_regionkey", 200000))
+    return edge(c, "c", "c_custkey", "located_in", "n", "c_nationkey", 0).union(edge(s, "s", "s_suppkey", "located_in", "n", "s_nationkey", 100000)).union(edge(n, "n", "n_nationkey", "part_of", "r", "n_regionkey", 200000))
 
 
 @query("k_hop", f"""

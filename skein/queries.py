@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.plans import corpus, warehouse
+from skein.plans import corpus, pipelines, warehouse
 
-QUERIES: dict = {**corpus.QUERIES, **warehouse.QUERIES}
-ORACLE_SQL: dict[str, str] = {**corpus.ORACLE_SQL, **warehouse.ORACLE_SQL}
+QUERIES: dict = {**corpus.QUERIES, **warehouse.QUERIES, **pipelines.QUERIES}
+ORACLE_SQL: dict[str, str] = {**corpus.ORACLE_SQL, **warehouse.ORACLE_SQL, **pipelines.ORACLE_SQL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -16,8 +17,9 @@ KEYS = {"region": ("r_regionkey",), "nation": ("n_nationkey",), "customer": ("c_
 
 @dataclass(frozen=True)
 class TableInfo:
-    """A table's key columns, which give its rows their provenance, and all its columns."""
+    """A table's name, its key columns, which give its rows their provenance, and all its columns."""
 
+    name: str
     key: tuple[str, ...]
     columns: tuple[str, ...]
 
@@ -32,7 +34,7 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def schema(self) -> dict[str, TableInfo]:
-        return {n: TableInfo(k, tuple(self.read(n).columns)) for n, k in sorted(self.keys.items())}
+        return {n: TableInfo(n, k, tuple(self.read(n).columns)) for n, k in sorted(self.keys.items())}
 
     def row_counts(self) -> DataFrame:
         return reduce(DataFrame.union, [self.read(n).agg(F.lit(n).alias("table"), F.count("*").alias("n_rows")) for n in sorted(self.keys)])
@@ -49,13 +51,36 @@ class Tables:
 
     def execute(self, sql: str, tables: tuple[str, ...], args: list | None = None) -> DataFrame:
         """One SELECT over known tables, with positional parameters; anything else is refused."""
-        ok, reason = filters.read_only(sql, set(tables), set(self.keys))
+        ok, reason = filters.read_only(sql, set(tables) | self.named(sql), set(self.keys))
         if not ok:
             raise ValueError(reason)
         for n in tables:
             self.read(n).createOrReplaceTempView(n)
         return self.spark.sql(sql, args=args or [])
 
+    def named(self, sql: str) -> set[str]:
+        """The relations that a statement reads, by its parsed plan, but for those it defines itself; empty if it can't be parsed."""
+        try:
+            plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+        except Exception:
+            return set()
+        found = {m.lower() for m in re.findall(r"'UnresolvedRelation \[([^\]]*)\]", plan.toString())}
+        own = {m.lower() for m in re.findall(r"(?:\bwith|,)\s*(?:recursive\s+)?(\w+)\s*(?:\([^()]*\))?\s+as\s*\(", sql, re.I)}
+        return {f.replace(", ", ".") for f in found} - own
+
+    def record(self, record_id: str) -> DataFrame:
+        """The row of records() with this id, which is one table's; a KeyError if no table has the name."""
+        name = record_id.split(":", 1)[0]
+        if name not in self.keys:
+            raise KeyError(record_id)
+        return self.records(name).where(F.col("record_id") == record_id)
+
+    def source_records(self, *names: str) -> DataFrame:
+        """record_id, source_type, locator, title, content, metadata: rows as records of a source."""
+        r = self.records(*names).withColumn("title", F.substring_index("record_id", ":", 1))
+        meta = F.create_map(*[x for n in names or sorted(self.keys) for x in (F.lit(n), F.lit(",".join(self.read(n).columns)))])
+        return r.select("record_id", F.lit("table_row").alias("source_type"), F.concat(F.lit("tables://"), F.replace("record_id", F.lit(":"), F.lit("/"))).alias("locator"), "title", "content", F.create_map(F.lit("table"), F.col("title"), F.lit("columns"), meta[F.col("title")]).alias("metadata"))
+
     def search(self, queries: DataFrame, *names: str, limit: int = 5) -> DataFrame:
         """query_id, record_id, score, rank: BM25 over rows as text."""
         return L.bm25(self.records(*names).select("record_id", F.col("content").alias("text")), queries, limit, doc="record_id")

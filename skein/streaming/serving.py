@@ -45,12 +45,39 @@ def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
     return spark.read.parquet(f"{at}/out")
 
 
+BUCKETS = 16
+
+
 def upsert_stream(changes: DataFrame, base: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Applies streamed changes (columns of base, op, generation) to the table versioned under path; each micro-batch writes a new version, so a repeated one is harmless."""
+    """Applies streamed changes (columns of base, op, generation) to a table under path, which current() reads.
+
+    The table keeps each key's last op and generation, deletes too, so a change that comes late, in whatever batch, never replaces a
+    newer one, and a batch that is repeated changes nothing. A micro-batch rewrites the buckets of its keys only.
+    """
     spark = changes.sparkSession
-    base.write.mode("overwrite").parquet(f"{path}/v-1")
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+    first = base.withColumn("op", F.lit("upsert")).withColumn("generation", F.lit(-1).cast("long")).withColumn("bucket", bucket)
+    first.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/table")
+    schema = first.schema
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        L.apply_changes(spark.read.parquet(f"{path}/v{epoch - 1}"), batch, key).write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        new = batch.withColumn("bucket", bucket).select(*schema.names).checkpoint()
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # BUCKETS at most
+        if touched:
+            old = spark.read.schema(schema).parquet(f"{path}/table").where(F.col("bucket").isin(*touched))
+            last = L.latest(old.unionByName(new), key, F.desc("generation"), "op").checkpoint()
+            last.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/table")
 
+    use_checkpoints(spark)
     changes.writeStream.foreachBatch(apply).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that upsert_stream() left, without the deleted ones."""
+    return spark.read.parquet(f"{path}/table").where("op = 'upsert'").drop("op", "generation", "bucket")
+
+
+def sliding(events: DataFrame, window: str = "1 day", slide: str = "6 hours", late: str = "1 hour") -> DataFrame:
+    """Events (ts, event_type, value) in overlapping windows by type."""
+    w = events.withWatermark("ts", late).groupBy(F.window("ts", window, slide).alias("w"), "event_type")
+    return w.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")

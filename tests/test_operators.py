@@ -166,4 +166,4 @@ def test_tables_and_streams(spark):
     at = serving.scratch(spark)
     spark.createDataFrame([(1, "c", "upsert", 1), (2, "b", "delete", 2)], "doc_id long, text string, op string, generation long").write.parquet(f"{at}/in")
     serving.upsert_stream(spark.readStream.schema("doc_id long, text string, op string, generation long").parquet(f"{at}/in"), base, f"{at}/t")
-    assert [tuple(r) for r in spark.read.parquet(f"{at}/t/v0").collect()] == [(1, "c")]
+    assert [tuple(r) for r in serving.current(spark, f"{at}/t").collect()] == [(1, "c")]

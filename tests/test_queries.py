@@ -52,8 +52,27 @@ def test_entry_without_the_corpus_operators(monkeypatch):
 
     def gone(name, *a, **k):
         if name.startswith("skein.llm") or name == "corpus_pipeline":
-            raise ImportError(name)
+            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
         return real(name, *a, **k)
 
     monkeypatch.setattr(builtins, "__import__", gone)
     assert set(e.queries()) == set(QUERIES) and set(e.oracle_sql()) == set(ORACLE_SQL)
+
+
+def test_entry_doesnt_hide_other_missing_modules(monkeypatch):
+    import builtins
+    import sys
+
+    import __spark_entry__ as e
+
+    real = builtins.__import__
+    monkeypatch.delitem(sys.modules, "corpus_pipeline", raising=False)
+
+    def gone(name, *a, **k):
+        if name == "corpus_pipeline":
+            raise ModuleNotFoundError("No module named 'regex'", name="regex")
+        return real(name, *a, **k)
+
+    monkeypatch.setattr(builtins, "__import__", gone)
+    with pytest.raises(ImportError):
+        e.queries()
