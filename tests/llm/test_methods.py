@@ -100,7 +100,40 @@ def test_substring_finds_passages_and_nothing_else(spark, texts):
     later = {i for i in has if first[has[i]] != i}
     assert set(got) <= later and len(got) >= 0.95 * len(later)
     for i, (s, e, source) in got.items():
-        assert source == first[has[i]] and rows[i][1][s:e] in passages[has[i]] and e - s > 0.4 * len(passages[has[i]])
+        assert source == first[has[i]] and rows[i][1][s:e] == passages[has[i]]
+
+
+def test_substring_against_all_windows_of_fifty_words(spark):
+    """All words of repeated windows of 50 words, by dictionary, against the passages found, on the documents of sf0.01."""
+    rows = duckdb.connect().execute("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY doc_id").fetchall()
+    seen, want, at = set(), {}, {}
+    for i, t in rows:
+        spans = [m.span() for m in re.finditer(r"[^\W_]+", t.lower())]
+        w = [t.lower()[s:e] for s, e in spans]
+        at[i] = spans
+        for k in range(len(w) - 49):
+            g = tuple(w[k : k + 50])
+            if g in seen:
+                want.setdefault(i, set()).update(range(k, k + 50))
+            seen.add(g)
+    got = {}
+    for r in substring.repeats(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect():
+        got.setdefault(r.doc_id, set()).update(k for k, (s, e) in enumerate(at[r.doc_id]) if r.start <= s and e <= r.end)
+    both = sum(len(got.get(i, set()) & x) for i, x in want.items())
+    assert both >= 0.99 * sum(map(len, want.values())) and both == sum(map(len, got.values()))
+    assert sum(i in got for i in want) >= 0.99 * len(want)
+
+
+def test_runs_are_maximal_and_equal():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        a, b = rng.integers(0, 3, 60), rng.integers(0, 3, 50)
+        i, j, n = rng.integers(0, 30), rng.integers(0, 20), rng.integers(5, 25)
+        b[j : j + n] = a[i : i + n]
+        for s, e, f in substring.runs(a.astype(np.uint64), b.astype(np.uint64), np.array([i]), np.array([j]), 5):
+            assert (a[s:e] == b[f : f + e - s]).all() and s <= i < e
+            assert s == 0 or f == 0 or a[s - 1] != b[f - 1]
+            assert e == 60 or f + e - s == 50 or a[e] != b[f + e - s]
 
 
 def test_recompression_is_local():
