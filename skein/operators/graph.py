@@ -20,10 +20,13 @@ ALIASES = {
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the folder that the session names, a local one only where none is named."""
+    """Checkpoints go to the folder that the session names; where none is named, to a local one, which only a local session can read: elsewhere that is an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skein-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="skein-checkpoint-"))
 
 
 def undirected(edges: DataFrame) -> DataFrame:
