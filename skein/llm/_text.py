@@ -120,11 +120,13 @@ class Words:
 
 
 def checkpoint_dir(spark) -> None:
-    """Checkpoints go to the shared folder that the session names; a local one is set only where none is named."""
+    """Checkpoints go to the shared folder that the session names; a local one is set only where none is named, and only for a local session."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             import tempfile
 
             named = tempfile.mkdtemp(prefix="skein-checkpoint-")
