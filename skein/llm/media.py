@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import _text as X
+from skein.llm.jaccard import components
 
 RATE, FRAME, HOP = 2756, 512, 256
 WIDTH = 10
@@ -151,8 +152,29 @@ def align(prints: DataFrame) -> DataFrame:
     return best.select("rec_a", "rec_b", "m.offset", "m.n_overlap", "m.bit_error")
 
 
+def classes(spark: SparkSession, prints: DataFrame) -> DataFrame:
+    """rec_id, class_id, n_links, best_id, offset, n_overlap, bit_error: a row for each recording.
+
+    class_id: the smallest rec_id of those it hangs together with by pairs of align(), n_links: in how many pairs it is; best_id: the
+    one of the fewest errors, then the longest overlap, then the smallest rec_id, which starts offset words into it. A recording that matches none is a
+    class of its own, its last four columns are null.
+    """
+    X.checkpoint_dir(spark)
+    prints = prints.where("rec_id is not null").checkpoint()
+    pairs = align(prints).checkpoint()
+    both = pairs.union(pairs.select("rec_b", "rec_a", -F.col("offset"), "n_overlap", "bit_error"))
+    best = F.min(F.struct("bit_error", (-F.col("n_overlap")).alias("less"), "rec_b", "offset"))
+    links = both.groupBy(F.col("rec_a").alias("of")).agg(F.count("*").alias("links"), best.alias("m"))
+    ids = prints.select("rec_id").distinct()
+    roots = components(spark, pairs.select(F.col("rec_a").alias("a"), F.col("rec_b").alias("b")))
+    return (
+        ids.join(roots, F.col("rec_id") == F.col("doc"), "left").join(links, F.col("rec_id") == F.col("of"), "left")
+        .select("rec_id", F.coalesce("root", "rec_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"), F.col("m.rec_b").alias("best_id"), "m.offset", (-F.col("m.less")).alias("n_overlap"), "m.bit_error")
+    )
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recordings rendered from all embeddings, 64 notes each, fingerprinted and aligned."""
+    """Recordings rendered from all embeddings, 64 notes each, fingerprinted and aligned: a row for each."""
     rows = X.need(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding").where("vec_id is not null and embedding is not null")
 
     held = spark.sparkContext.broadcast(thresholds())
@@ -164,4 +186,4 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
                 words = of_pcm([to_pcm(render(np.array([v], np.float64))[0]) for v in part.column("embedding").to_pylist()], held.value)
                 yield pa.RecordBatch.from_arrays([part.column("vec_id"), pa.array([w.view(np.int32) for w in words], pa.list_(pa.int32()))], names=["rec_id", "words"])
 
-    return align(rows.mapInArrow(run, "rec_id long, words array<int>"))
+    return classes(spark, rows.mapInArrow(run, "rec_id long, words array<int>"))
