@@ -34,6 +34,11 @@ def test_route_needs_no_text_of_a_collection(spark, docs, no_roots):
     assert got == pytest.approx(want) and len(got) == 4
 
 
+def test_summary_search_needs_no_text_of_a_collection(spark, docs, no_roots):
+    got = hierarchy.search(docs, _q(spark, "owl across birds", "rope")).collect()
+    assert sorted((x.query_id, x.doc_id) for x in got if x["rank"] == 1) == [(0, 3), (1, 6)]
+
+
 def test_digests_are_those_of_the_nodes(spark, docs):
     want = hierarchy.nodes(docs).select("node_id", "level", F.md5("text").alias("text_md5"), F.size("doc_ids").alias("n_documents")).collect()
     assert sorted(hierarchy.digests(docs).collect()) == sorted(want)
