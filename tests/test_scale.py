@@ -39,6 +39,12 @@ def test_summary_search_needs_no_text_of_a_collection(spark, docs, no_roots):
     assert sorted((x.query_id, x.doc_id) for x in got if x["rank"] == 1) == [(0, 3), (1, 6)]
 
 
+def test_summary_stats_need_no_text_of_a_collection(spark, docs, no_roots):
+    assert hierarchy.stats(docs).first().asDict() == {"leaf_documents": 7, "summary_nodes": 5, "summary_words": 32}
+    odd = spark.createDataFrame([(0, None, "a b"), (1, "x", None), (2, "x", "  ")], "doc_id long, collection string, text string")
+    assert hierarchy.stats(odd).first().asDict() == {"leaf_documents": 3, "summary_nodes": 4, "summary_words": 4}
+
+
 def test_digests_are_those_of_the_nodes(spark, docs):
     want = hierarchy.nodes(docs).select("node_id", "level", F.md5("text").alias("text_md5"), F.size("doc_ids").alias("n_documents")).collect()
     assert sorted(hierarchy.digests(docs).collect()) == sorted(want)
