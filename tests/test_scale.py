@@ -48,3 +48,12 @@ def test_summary_stats_need_no_text_of_a_collection(spark, docs, no_roots):
 def test_digests_are_those_of_the_nodes(spark, docs):
     want = hierarchy.nodes(docs).select("node_id", "level", F.md5("text").alias("text_md5"), F.size("doc_ids").alias("n_documents")).collect()
     assert sorted(hierarchy.digests(docs).collect()) == sorted(want)
+
+
+def test_index_holds_lists_of_postings(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "the cat" if i % 2 else "the dog the") for i in range(200)], "doc_id long, text string").coalesce(1)
+    index = lexical.Index(docs, str(tmp_path / "i"), 4)
+    assert index.read("segments").count() == 3 and index.posting_entries() == 400  # not a row for each posting
+    got = index.bm25(_q(spark, "cat the"), 3).orderBy("rank").collect()
+    want = lexical.bm25(docs, _q(spark, "cat the"), 3).orderBy("rank").collect()
+    assert [x.doc_id for x in got] == [x.doc_id for x in want] == [1, 3, 5]
