@@ -57,3 +57,10 @@ def test_index_holds_lists_of_postings(spark, tmp_path):
     got = index.bm25(_q(spark, "cat the"), 3).orderBy("rank").collect()
     want = lexical.bm25(docs, _q(spark, "cat the"), 3).orderBy("rank").collect()
     assert [x.doc_id for x in got] == [x.doc_id for x in want] == [1, 3, 5]
+
+
+def test_binary_rank_shuffles_no_terms(spark):
+    docs = spark.createDataFrame([(0, "a b c"), (1, "a b"), (2, "b b"), (3, None)], "doc_id long, text string")
+    best = lexical.binary_rank(docs, _q(spark, "a b", "b", "a zzz"), 2, require_all_terms=True)
+    assert "(term" not in _plan(best) and "SortMergeJoin" not in _plan(best)
+    assert sorted((x.query_id, x.doc_id) for x in best.collect()) == [(0, 0), (0, 1), (1, 0), (1, 1)]
