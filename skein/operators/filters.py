@@ -54,9 +54,8 @@ def reason_counts(docs: DataFrame) -> DataFrame:
 
 def guarded_search(docs: DataFrame, queries: DataFrame, acl: Column, fresh: Column, trusted: Column, k: int = 1) -> DataFrame:
     """query_id, doc_id, score, rank among the documents that pass, by binary term weights of the whole index; all terms must occur."""
-    ok = first_failing(docs, acl, fresh, trusted).where("reason = 'ok'").select("doc_id")
-    ranked = L.binary_rank(docs, queries, 1 << 30, require_all_terms=True).drop("rank")
-    return L.top_k(ranked.join(ok, "doc_id", "left_semi"), k)
+    ok = first_failing(docs, acl, fresh, trusted).where("reason = 'ok'")
+    return L.top_k(L.binary_scores(docs, queries, True, among=ok, best=max(k, 1)), k)
 
 
 def canonical_dedupe(pages: DataFrame, canonical: Column, *order: Column) -> DataFrame:

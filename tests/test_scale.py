@@ -64,3 +64,11 @@ def test_binary_rank_shuffles_no_terms(spark):
     best = lexical.binary_rank(docs, _q(spark, "a b", "b", "a zzz"), 2, require_all_terms=True)
     assert "(term" not in _plan(best) and "SortMergeJoin" not in _plan(best)
     assert sorted((x.query_id, x.doc_id) for x in best.collect()) == [(0, 0), (0, 1), (1, 0), (1, 1)]
+
+
+def test_guarded_search_ranks_only_what_passes(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "binary_rank", lambda *a, **k: pytest.fail("the whole index was ranked"))
+    docs = spark.createDataFrame([(i, "a b" if i < 6 else "c", i % 2 == 0) for i in range(9)], "doc_id long, text string, ok boolean")
+    got = filters.guarded_search(docs, _q(spark, "a"), F.col("ok"), F.lit(True), F.lit(True), 2).collect()
+    assert [x.doc_id for x in got] == [0, 2]
+    assert got[0].score == pytest.approx(__import__("math").log(1 + 10 / 7))  # weights are those of all
