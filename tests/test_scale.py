@@ -1,9 +1,17 @@
 """What keeps the queries bounded: texts stay where they are, and nothing is gathered that grows with the input."""
 
+import hashlib
+import os
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.operators import filters, hierarchy, lexical, serving
+from skein.functions import vectors
+from skein.operators import calibration, chunking, control, filters, graph, hierarchy, lexical, metrics, rerank, serving
+from skein.plans import questions
+from skein.queries import QUERIES
+from skein.sources import tables
 
 PLACES = [(i, "birds" if i < 4 else "boats", t) for i, t in enumerate(["crow nest", "heron pond", "swan lake", "owl night", "sail wind", "hull water", "anchor rope"])]
 
@@ -16,6 +24,16 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def _spied(monkeypatch, module, name):
+    """The arguments of each call."""
+    real, calls = getattr(module, name), []
+    monkeypatch.setattr(module, name, lambda *a, **k: calls.append((a, k)) or real(*a, **k))
+    return calls
+
+
+TALES = [(i, f"A {w} sat there. It saw {w} and more! The end of {w}?\n\nAnother {w} came by.") for i, w in enumerate(["crow", "heron", "swan", "owl", "gull", "wren"])]
+
+
 @pytest.fixture
 def no_roots(monkeypatch):
     """Fails where the text of a whole collection is put together."""
@@ -72,3 +90,16 @@ def test_guarded_search_ranks_only_what_passes(spark, monkeypatch):
     got = filters.guarded_search(docs, _q(spark, "a"), F.col("ok"), F.lit(True), F.lit(True), 2).collect()
     assert [x.doc_id for x in got] == [0, 2]
     assert got[0].score == pytest.approx(__import__("math").log(1 + 10 / 7))  # weights are those of all
+
+
+def test_hashed_vectors_get_texts_not_features(spark):
+    texts = ["Crow nest CROW", "", None, "a", "owl " * 3000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", vectors.hashing_embed("t", 16).alias("v"))
+    assert "regexp_extract_all" not in _plan(df)
+    for x in df.collect():
+        t = (x.t or "").lower().split()
+        want = np.zeros(16)
+        for f in t + [f"{a}_{b}" for a, b in zip(t, t[1:])]:
+            n = int.from_bytes(hashlib.blake2b(f.encode(), digest_size=8).digest(), "big")
+            want[n % 16] += -1 if n >> 8 & 1 else 1
+        assert x.v == (want / (np.sqrt(want @ want) or 1)).tolist()
