@@ -92,6 +92,13 @@ def test_guarded_search_ranks_only_what_passes(spark, monkeypatch):
     assert got[0].score == pytest.approx(__import__("math").log(1 + 10 / 7))  # weights are those of all
 
 
+def test_vector_rag_cuts_only_the_documents_found_again(spark, monkeypatch):
+    cut = _spied(monkeypatch, chunking, "fixed")
+    docs = spark.createDataFrame(TALES, "doc_id long, text string")
+    got = control.naive_rag(docs, _q(spark, "a heron sat there"), 6, 1, 64, 2).orderBy("rank").collect()
+    assert got[0].text.startswith("A heron sat") and [c[0][0].count() for c in cut] == [len({x.doc_id for x in got})]
+
+
 def test_hashed_vectors_get_texts_not_features(spark):
     texts = ["Crow nest CROW", "", None, "a", "owl " * 3000]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", vectors.hashing_embed("t", 16).alias("v"))
