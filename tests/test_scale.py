@@ -99,6 +99,13 @@ def test_vector_rag_cuts_only_the_documents_found_again(spark, monkeypatch):
     assert got[0].text.startswith("A heron sat") and [c[0][0].count() for c in cut] == [len({x.doc_id for x in got})]
 
 
+def test_parent_child_search_links_only_the_documents_found(spark, monkeypatch):
+    cut = _spied(monkeypatch, chunking, "paragraph")
+    docs = spark.createDataFrame(TALES, "doc_id long, text string")
+    got = chunking.parent_child_search(docs, _q(spark, "heron"), child_words=5, parent_words=9).collect()
+    assert [x.parent_id for x in got][0].startswith("1::paragraph-") and cut[0][0][0].count() == 1
+
+
 def test_hashed_vectors_get_texts_not_features(spark):
     texts = ["Crow nest CROW", "", None, "a", "owl " * 3000]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", vectors.hashing_embed("t", 16).alias("v"))
