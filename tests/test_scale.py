@@ -106,6 +106,14 @@ def test_parent_child_search_links_only_the_documents_found(spark, monkeypatch):
     assert [x.parent_id for x in got][0].startswith("1::paragraph-") and cut[0][0][0].count() == 1
 
 
+def test_hierarchical_search_scores_only_leaves_of_routed_documents(spark, monkeypatch):
+    scored = _spied(monkeypatch, lexical, "bm25_scores")
+    docs = spark.createDataFrame(TALES, "doc_id long, text string")
+    got = chunking.hierarchical_search(docs, _q(spark, "heron"), route_k=1, leaf_words=5).collect()
+    among = [k["among"] for _, k in scored if k.get("among") is not None]
+    assert {x.chunk_id.split("::")[0] for x in got} == {"1"} and len(among) == 1 and {x.doc_id for x in among[0].collect()} == {1}
+
+
 def test_hashed_vectors_get_texts_not_features(spark):
     texts = ["Crow nest CROW", "", None, "a", "owl " * 3000]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", vectors.hashing_embed("t", 16).alias("v"))
