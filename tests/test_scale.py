@@ -114,6 +114,19 @@ def test_hierarchical_search_scores_only_leaves_of_routed_documents(spark, monke
     assert {x.chunk_id.split("::")[0] for x in got} == {"1"} and len(among) == 1 and {x.doc_id for x in among[0].collect()} == {1}
 
 
+def test_semantic_chunks_shuffle_nothing(spark):
+    docs = spark.createDataFrame([*TALES, (9, None), (10, "  ")], "doc_id long, text string")
+    c = chunking.semantic(docs, 100, 0.1, 64)
+    assert "Exchange" not in _plan(c) and "Window" not in _plan(c)
+    got = [x.text for x in c.where("doc_id = 1").orderBy("start_word").collect()]
+    s = ["A heron sat there.", "It saw heron and more!", "The end of heron?", "Another heron came by."]
+    v = [np.array(x.v) for x in spark.createDataFrame([(x,) for x in s], "t string").select(vectors.hashing_embed("t", 64).alias("v")).collect()]
+    want = [s[0]]
+    for i in range(1, 4):
+        want = [*want, s[i]] if v[i - 1] @ v[i] < 0.1 else [*want[:-1], want[-1] + " " + s[i]]
+    assert got == want
+
+
 def test_hashed_vectors_get_texts_not_features(spark):
     texts = ["Crow nest CROW", "", None, "a", "owl " * 3000]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", vectors.hashing_embed("t", 16).alias("v"))
