@@ -25,35 +25,37 @@ def baselines(top1: Column, margin: Column, valid: Column, present: Column, supp
 class LogisticCalibrator:
     """Logistic regression by full-batch gradient descent with L2 on the weights, not the intercept.
 
-    Each step's gradient is a sum over rows. With few rows they are collected once; beyond
-    COLLECT rows the sums are Spark aggregations over a cached table, one job a step.
+    Each step's gradient is a sum over rows, of which equal ones are counted together. Up to COLLECT
+    different rows are collected once; beyond, the sums are Spark aggregations over a cached table, one job a step.
     """
 
-    COLLECT = 200_000
+    COLLECT = 2_000_000
 
     def __init__(self, features: list[str], epochs: int = 400, rate: float = 0.1, l2: float = 0.01):
         self.features, self.epochs, self.rate, self.l2 = features, epochs, rate, l2
         self.weights, self.intercept = np.zeros(len(features)), 0.0
 
     def fit(self, rows: DataFrame, target: str) -> LogisticCalibrator:
-        data = rows.select(*[F.col(f).cast("double") for f in self.features], F.col(target).cast("double").alias("_y"))
-        n = data.count()
-        if not n:
-            raise ValueError("no rows to fit on")
-        if n <= self.COLLECT:
-            a = data.toPandas().to_numpy()
-            x, y = a[:, :-1], a[:, -1]
+        names = [*self.features, "_y"]
+        data = rows.select(*[F.col(f).cast("double") for f in self.features], F.col(target).cast("double").alias("_y")).groupBy(*names).agg(F.count("*").cast("double").alias("_n")).persist()
+        try:
+            different, n = data.agg(F.count("*"), F.sum("_n")).first()
+            if not n:
+                raise ValueError("no rows to fit on")
+            if different <= self.COLLECT:
+                a = np.column_stack([c.to_numpy() for c in data.toArrow().columns])
+                x, y, w = a[:, :-2], a[:, -2], a[:, -1] / n
+                for _ in range(self.epochs):
+                    e = (1 / (1 + np.exp(-(x @ self.weights + self.intercept))) - y) * w
+                    self._step(x.T @ e, e.sum())
+                return self
             for _ in range(self.epochs):
-                e = 1 / (1 + np.exp(-(x @ self.weights + self.intercept))) - y
-                self._step(x.T @ e / n, e.mean())
+                e = (self.predict() - F.col("_y")) * F.col("_n")
+                g = data.select(*[F.sum(e * F.col(f)) for f in self.features], F.sum(e)).first()
+                self._step(np.array(g[:-1]) / n, g[-1] / n)
             return self
-        data = data.persist()
-        for _ in range(self.epochs):
-            e = self.predict() - F.col("_y")
-            g = data.select(*[F.avg(e * F.col(f)) for f in self.features], F.avg(e)).first()
-            self._step(np.array(g[:-1]), g[-1])
-        data.unpersist()
-        return self
+        finally:
+            data.unpersist()
 
     def _step(self, gw: np.ndarray, gb: float) -> None:
         self.weights = self.weights - self.rate * (gw + self.l2 * self.weights)

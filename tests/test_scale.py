@@ -127,6 +127,17 @@ def test_semantic_chunks_shuffle_nothing(spark):
     assert got == want
 
 
+def test_equal_rows_are_fitted_once(spark, monkeypatch):
+    rows = spark.createDataFrame([(float(i % 2), i % 2 if i % 5 else 1 - i % 2) for i in range(50)], "x double, y int")
+    whole = calibration.LogisticCalibrator(["x"]).fit(rows, "y")
+    monkeypatch.setattr(calibration.LogisticCalibrator, "COLLECT", 3)
+    many = calibration.LogisticCalibrator(["x"], epochs=3).fit(rows, "y")
+    monkeypatch.setattr(calibration.LogisticCalibrator, "COLLECT", 4)
+    monkeypatch.setattr(calibration.LogisticCalibrator, "predict", lambda self: pytest.fail("a job for each step"))
+    few, again = calibration.LogisticCalibrator(["x"], epochs=3).fit(rows, "y"), calibration.LogisticCalibrator(["x"]).fit(rows, "y")
+    assert few.weights == pytest.approx(many.weights) and again.weights == pytest.approx(whole.weights) and again.weights[0] > 0
+
+
 def test_hashed_vectors_get_texts_not_features(spark):
     texts = ["Crow nest CROW", "", None, "a", "owl " * 3000]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", vectors.hashing_embed("t", 16).alias("v"))
