@@ -149,3 +149,12 @@ def test_hashed_vectors_get_texts_not_features(spark):
             n = int.from_bytes(hashlib.blake2b(f.encode(), digest_size=8).digest(), "big")
             want[n % 16] += -1 if n >> 8 & 1 else 1
         assert x.v == (want / (np.sqrt(want @ want) or 1)).tolist()
+
+
+def test_bigram_counts_are_dealt_by_the_size_of_the_input(spark, monkeypatch):
+    docs = spark.createDataFrame([(0, "A b a B"), (1, None), (2, "b a c"), (3, "x")], "doc_id long, text string")
+    monkeypatch.setattr(lexical, "GRAM_BYTES", 1)
+    monkeypatch.setattr(lexical, "HELD_GRAMS", 1)
+    n = lexical.bigram_counts(docs)
+    assert {x.gram: x.n for x in n.collect()} == {"a_b": 2, "b_a": 2, "a_c": 1}
+    assert n.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
