@@ -151,6 +151,14 @@ def test_hashed_vectors_get_texts_not_features(spark):
         assert x.v == (want / (np.sqrt(want @ want) or 1)).tolist()
 
 
+def test_percentiles_gather_no_values(spark):
+    v = np.concatenate((np.random.default_rng(1).normal(size=301).round(2), [-0.0, 0.0, 1e300, -1e300, 5e-324])).tolist()
+    df = metrics.percentile(spark.createDataFrame([(x,) for x in [*v, None]], "x double"), "x", 0.0, 0.5, 0.95, 0.333, 1.0)
+    assert "percentile(" not in _plan(df)
+    assert list(df.first()) == pytest.approx([np.percentile(v, q) for q in (0, 50, 95, 33.3, 100)])
+    assert list(metrics.percentile(spark.createDataFrame([], "x double"), "x", 0.5).first()) == [None]
+
+
 def test_bigram_counts_are_dealt_by_the_size_of_the_input(spark, monkeypatch):
     docs = spark.createDataFrame([(0, "A b a B"), (1, None), (2, "b a c"), (3, "x")], "doc_id long, text string")
     monkeypatch.setattr(lexical, "GRAM_BYTES", 1)
