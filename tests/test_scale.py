@@ -159,6 +159,13 @@ def test_percentiles_gather_no_values(spark):
     assert list(metrics.percentile(spark.createDataFrame([], "x double"), "x", 0.5).first()) == [None]
 
 
+@pytest.mark.parametrize("name", ["rrf", "weighted_fusion"])
+def test_fusion_reads_one_stored_index(spark, monkeypatch, name):
+    monkeypatch.setattr(lexical, "tfidf", lambda *a, **k: pytest.fail("an index of its own"))
+    monkeypatch.setattr(lexical, "bm25", lambda *a, **k: pytest.fail("the documents were counted again"))
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_bigram_counts_are_dealt_by_the_size_of_the_input(spark, monkeypatch):
     docs = spark.createDataFrame([(0, "A b a B"), (1, None), (2, "b a c"), (3, "x")], "doc_id long, text string")
     monkeypatch.setattr(lexical, "GRAM_BYTES", 1)
