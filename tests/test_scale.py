@@ -166,6 +166,14 @@ def test_fusion_reads_one_stored_index(spark, monkeypatch, name):
     assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
 
 
+def test_features_are_those_of_the_candidates_only(spark, monkeypatch):
+    docs, q = spark.createDataFrame(TALES, "doc_id long, text string"), _q(spark, "heron there")
+    scored = _spied(monkeypatch, lexical, "bm25_scores")
+    got = rerank.features(lexical.bm25(docs, q, 2), docs, q).collect()
+    assert len(got) == 2 and [k["among"].count() for _, k in scored if k.get("among") is not None] == [2]
+    assert all(x.bm25 == pytest.approx(x.dense) for x in got)
+
+
 def test_bigram_counts_are_dealt_by_the_size_of_the_input(spark, monkeypatch):
     docs = spark.createDataFrame([(0, "A b a B"), (1, None), (2, "b a c"), (3, "x")], "doc_id long, text string")
     monkeypatch.setattr(lexical, "GRAM_BYTES", 1)
