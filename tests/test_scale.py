@@ -174,6 +174,13 @@ def test_features_are_those_of_the_candidates_only(spark, monkeypatch):
     assert all(x.bm25 == pytest.approx(x.dense) for x in got)
 
 
+def test_norms_are_stored_when_they_are_needed(spark, tmp_path):
+    index = lexical.Index(spark.createDataFrame(TALES, "doc_id long, text string"), str(tmp_path / "i"), 4)
+    index.bm25(_q(spark, "crow"), 3).collect()
+    assert not os.path.exists(tmp_path / "i" / "norms")
+    assert [x.doc_id for x in index.tfidf(_q(spark, "crow"), 3).collect()] == [0] and index.read("norms").count() == 6
+
+
 def test_bigram_counts_are_dealt_by_the_size_of_the_input(spark, monkeypatch):
     docs = spark.createDataFrame([(0, "A b a B"), (1, None), (2, "b a c"), (3, "x")], "doc_id long, text string")
     monkeypatch.setattr(lexical, "GRAM_BYTES", 1)
