@@ -42,7 +42,8 @@ class Guarded:
         return query, tuple(sorted(roles)), k, self.generation, self.max_age_days, self.require_trusted
 
     def upsert(self, docs: DataFrame) -> None:
-        self.docs = self.docs.join(docs.select("doc_id"), "doc_id", "left_anti").unionByName(docs)
+        ids = docs.select("doc_id").distinct()
+        self.docs = self.docs.join(F.broadcast(ids) if ids.count() <= L.HELD_TERMS else ids, "doc_id", "left_anti").unionByName(docs)
         self.generation += 1
 
     def delete(self, doc_id) -> bool:
@@ -66,8 +67,7 @@ class Guarded:
             judged = self.judged(roles)
             counts = P.reason_counts(judged).first()
             q = self.docs.sparkSession.createDataFrame([(0, query)], "query_id int, text string")
-            ranked = L.binary_rank(self.docs, q, 1 << 30, require_all_terms=True).drop("rank")
-            best = L.top_k(ranked.join(judged.where("reason = 'ok'").select("doc_id"), "doc_id", "left_semi"), k)
+            best = L.top_k(L.binary_scores(self.docs, q, True, among=judged.where("reason = 'ok'"), best=max(k, 1)), k)
             self.cache[key] = (*counts, tuple(r["doc_id"] for r in best.orderBy("rank").collect()))
         ok, acl, stale, untrusted, returned = self.cache[key]
         return Trace(hit, self.generation, ok, acl, stale, untrusted, returned)

@@ -92,6 +92,13 @@ def test_guarded_search_ranks_only_what_passes(spark, monkeypatch):
     assert got[0].score == pytest.approx(__import__("math").log(1 + 10 / 7))  # weights are those of all
 
 
+def test_served_queries_rank_only_what_passes(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "binary_rank", lambda *a, **k: pytest.fail("the whole index was ranked"))
+    docs = spark.createDataFrame([(0, "new crow", ["u"], True), (1, "new crow", [], True), (2, "new owl", ["u"], True)], "doc_id long, text string, roles array<string>, trusted boolean").withColumn("updated_at", F.lit("2024-01-01").cast("timestamp"))
+    g = serving.Guarded(docs, "2024-01-02", 9)
+    assert g.query("crow", ["u"]).returned == (0,) and g.query("owl", ["x"]).returned == ()
+
+
 def test_vector_rag_cuts_only_the_documents_found_again(spark, monkeypatch):
     cut = _spied(monkeypatch, chunking, "fixed")
     docs = spark.createDataFrame(TALES, "doc_id long, text string")
@@ -181,6 +188,13 @@ def test_norms_are_stored_when_they_are_needed(spark, tmp_path):
     assert [x.doc_id for x in index.tfidf(_q(spark, "crow"), 3).collect()] == [0] and index.read("norms").count() == 6
 
 
+def test_upsert_moves_no_texts(spark):
+    docs = spark.createDataFrame([(0, "crow", ["u"], True), (1, "owl", ["u"], True)], "doc_id long, text string, roles array<string>, trusted boolean").withColumn("updated_at", F.lit("2024-01-01").cast("timestamp"))
+    g = serving.Guarded(docs, "2024-01-02", 9)
+    g.upsert(docs.where("doc_id = 0").withColumn("text", F.lit("gull")))
+    assert "SortMergeJoin" not in _plan(g.docs) and g.query("gull", ["u"]).returned == (0,) and g.query("crow", ["u"]).returned == ()
+
+
 def test_bigram_counts_are_dealt_by_the_size_of_the_input(spark, monkeypatch):
     docs = spark.createDataFrame([(0, "A b a B"), (1, None), (2, "b a c"), (3, "x")], "doc_id long, text string")
     monkeypatch.setattr(lexical, "GRAM_BYTES", 1)
