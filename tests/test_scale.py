@@ -202,3 +202,11 @@ def test_bigram_counts_are_dealt_by_the_size_of_the_input(spark, monkeypatch):
     n = lexical.bigram_counts(docs)
     assert {x.gram: x.n for x in n.collect()} == {"a_b": 2, "b_a": 2, "a_c": 1}
     assert n.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_sentence_chunks_are_packed_in_slices(spark):
+    docs = spark.createDataFrame([*TALES, (9, None), (10, " \n "), (11, "One. Two!Three? ...  Four")], "doc_id long, text string")
+    c = chunking.sentence(docs, 3)
+    assert "MapInArrow" in _plan(c) and "EvalPython" not in _plan(c)
+    assert [(x.start_word, x.end_word, x.text) for x in c.where("doc_id = 11").orderBy("start_word").collect()] == [(0, 3, "One. Two!Three? ..."), (3, 4, "Four")]
+    assert {x.doc_id for x in c.collect()} == {0, 1, 2, 3, 4, 5, 11}
