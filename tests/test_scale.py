@@ -210,3 +210,15 @@ def test_sentence_chunks_are_packed_in_slices(spark):
     assert "MapInArrow" in _plan(c) and "EvalPython" not in _plan(c)
     assert [(x.start_word, x.end_word, x.text) for x in c.where("doc_id = 11").orderBy("start_word").collect()] == [(0, 3, "One. Two!Three? ..."), (3, 4, "Four")]
     assert {x.doc_id for x in c.collect()} == {0, 1, 2, 3, 4, 5, 11}
+
+
+def test_adaptive_search_reads_only_the_texts_found(spark):
+    docs = spark.createDataFrame(TALES, "doc_id long, text string")
+    graph.use_checkpoints(spark)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hit = control._best(docs, _q(spark, "heron"), "primary")
+        assert "LeftSemi, BuildRight" in _plan(hit) and [x.doc_id for x in hit.collect()] == [1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
