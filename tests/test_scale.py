@@ -204,6 +204,16 @@ def test_bigram_counts_are_dealt_by_the_size_of_the_input(spark, monkeypatch):
     assert n.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_walks_advance_in_columns(spark, monkeypatch):
+    edges = spark.createDataFrame([("a", "r", "b", 1), ("b", "r", "c", 2), ("b", "r", "d", 3), ("e", "r", "f", 4)], "subject string, relation string, object string, doc_id long")
+    seeds = spark.createDataFrame([("x", "a"), ("y", "e"), ("z", "a"), ("z", "f")], "seed string, node string")
+    monkeypatch.setattr(graph, "WALKS", 2)
+    got = {(x.seed, x.node): x.score for x in graph.pagerank_by_seed(edges, seeds).collect()}
+    for seed, nodes in (("x", ["a"]), ("y", ["e"]), ("z", ["a", "f"])):
+        want = {x.node: x.score for x in graph.pagerank(edges, spark.createDataFrame([(n,) for n in nodes], "node string")).collect() if x.score}
+        assert {n: s for (w, n), s in got.items() if w == seed} == pytest.approx(want)
+
+
 def test_sentence_chunks_are_packed_in_slices(spark):
     docs = spark.createDataFrame([*TALES, (9, None), (10, " \n "), (11, "One. Two!Three? ...  Four")], "doc_id long, text string")
     c = chunking.sentence(docs, 3)
