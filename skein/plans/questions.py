@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,8 +76,8 @@ class Trace:
     evidence: DataFrame | None = None
 
 
-def ask(tables: Tables, question: str) -> Trace:
-    """Plans, validates and runs one question; the rows of an answer are few, its evidence (record_id) stays a table."""
+def prepare(tables: Tables, question: str) -> Trace:
+    """Plans and validates one question, without an answer; its evidence (record_id) is a table that hasn't run."""
     try:
         made = plan(question, set(tables.keys))
     except ValueError as e:
@@ -85,9 +85,17 @@ def ask(tables: Tables, question: str) -> Trace:
     ok, reason = filters.read_only(made.sql, set(made.tables), set(tables.keys))
     if not ok:
         return Trace(question, "rejected", error=reason, plan=made)
-    rows = [tuple(r) for r in tables.execute(made.sql, made.tables, list(made.args)).collect()]
-    evidence = tables.execute(made.evidence_sql, made.tables, list(made.evidence_args)) if made.evidence_sql else None
-    return Trace(question, "ok", format_answer(rows), plan=made, evidence=evidence)
+    evidence = tables.execute(made.evidence_sql, made.tables, list(made.evidence_args), spread=True) if made.evidence_sql else None
+    return Trace(question, "ok", plan=made, evidence=evidence)
+
+
+def ask(tables: Tables, question: str) -> Trace:
+    """Plans, validates and runs one question; the rows of an answer are few, its evidence (record_id) stays a table."""
+    trace = prepare(tables, question)
+    if trace.status != "ok":
+        return trace
+    rows = tables.execute(trace.plan.sql, trace.plan.tables, list(trace.plan.args), spread=True).collect()
+    return replace(trace, answer=format_answer([tuple(r) for r in rows]))
 
 
 QUESTIONS = (
@@ -112,5 +120,5 @@ def answers(spark: SparkSession, folder: str, questions: tuple[str, ...] = QUEST
 def evidence(spark: SparkSession, folder: str, questions: tuple[str, ...] = QUESTIONS) -> DataFrame:
     """question_id, record_id, locator: the rows behind each answer."""
     t = Tables(spark, folder)
-    parts = [x.evidence.select(F.lit(i).alias("question_id"), "record_id") for i, x in enumerate(ask(t, q) for q in questions) if x.evidence is not None]
+    parts = [x.evidence.select(F.lit(i).alias("question_id"), "record_id") for i, x in enumerate(prepare(t, q) for q in questions) if x.evidence is not None]
     return reduce(DataFrame.union, parts).withColumn("locator", F.concat(F.lit("tables://"), F.replace("record_id", F.lit(":"), F.lit("/"))))

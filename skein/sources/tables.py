@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from skein.operators import filters
 from skein.operators import lexical as L
 
+#: Bytes of the tables of a spread statement for each of its partitions.
+SPREAD_BYTES = 4 << 20
 KEYS = {"region": ("r_regionkey",), "nation": ("n_nationkey",), "customer": ("c_custkey",), "supplier": ("s_suppkey",), "part": ("p_partkey",), "orders": ("o_orderkey",), "lineitem": ("l_orderkey", "l_linenumber"), "events": ("event_id",)}
 
 
@@ -49,13 +51,19 @@ class Tables:
             parts.append(t.select(F.concat_ws(":", F.lit(n), *key).alias("record_id"), content.alias("content")))
         return reduce(DataFrame.union, parts)
 
-    def execute(self, sql: str, tables: tuple[str, ...], args: list | None = None) -> DataFrame:
-        """One SELECT over known tables, with positional parameters; anything else is refused."""
+    def spread(self, tables: tuple[str, ...]) -> dict[str, DataFrame]:
+        """The tables dealt by their first keys to partitions in number of their size, so that no task of a join grows with them; as they are if they are small."""
+        read = {n: self.read(n) for n in tables}
+        parts = -(-sum(int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for t in read.values()) // SPREAD_BYTES)
+        return {n: t.repartition(min(parts, 20_000), self.keys[n][0]) if parts > 32 and self.keys[n] else t for n, t in read.items()}
+
+    def execute(self, sql: str, tables: tuple[str, ...], args: list | None = None, spread: bool = False) -> DataFrame:
+        """One SELECT over known tables, with positional parameters; anything else is refused. spread: for statements that join whole tables and return their rows."""
         ok, reason = filters.read_only(sql, set(tables) | self.named(sql), set(self.keys))
         if not ok:
             raise ValueError(reason)
-        for n in tables:
-            self.read(n).createOrReplaceTempView(n)
+        for n, t in (self.spread(tables) if spread else {n: self.read(n) for n in tables}).items():
+            t.createOrReplaceTempView(n)
         return self.spark.sql(sql, args=args or [])
 
     def named(self, sql: str) -> set[str]:

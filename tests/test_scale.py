@@ -214,6 +214,13 @@ def test_walks_advance_in_columns(spark, monkeypatch):
         assert {n: s for (w, n), s in got.items() if w == seed} == pytest.approx(want)
 
 
+def test_evidence_is_dealt_by_size_and_asks_for_no_answers(spark, monkeypatch):
+    monkeypatch.setattr(tables, "SPREAD_BYTES", 1 << 10)
+    monkeypatch.setattr(questions, "format_answer", lambda rows: pytest.fail("an answer was made"))
+    e = questions.evidence(spark, "/root/testdata/sf0.001", (questions.QUESTIONS[6],))
+    assert "REPARTITION_BY_NUM" in _plan(e) and e.count() > 0
+
+
 def test_sentence_chunks_are_packed_in_slices(spark):
     docs = spark.createDataFrame([*TALES, (9, None), (10, " \n "), (11, "One. Two!Three? ...  Four")], "doc_id long, text string")
     c = chunking.sentence(docs, 3)
